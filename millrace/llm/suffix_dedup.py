@@ -5,8 +5,9 @@ that their later offsets are in; the refined identifiers serve in the next, long
 refines to a depth, `suffix_array` to the end.
 
 Over a cluster: each window of `least` bytes is dealt to the initial bucket of its smallest 16-gram (by hash). A run of
-windows in one document with the same bucket travels as two hashes, once for each block of documents. Where one bucket
-holds different runs, their windows are refined in their block by `ranks`, and a hash of each distinct window travels.
+windows in one document with the same bucket travels as two hashes, once for each block of documents. Where runs of one
+bucket differ but agree in the bytes before or behind the gram, the windows that reach there are refined in their block by
+`ranks`, and a hash of each distinct window travels.
 So a bucket gets a row for each block at most from whatever is common, and a window is compared over all documents.
 
 A byte is removed if a string of `least` bytes that covers it also starts in a document with a smaller key. Strings
@@ -33,6 +34,11 @@ LEAST = 50
 GRAM = 16
 #: Bytes of text in a block of documents, about; a worker holds one.
 BLOCK_BYTES = 3 << 20
+#: Flanks that no other has, and that every other has.
+NONE, ANY = 0, 65535
+#: What a block is told of a run: a smaller key has the whole of it; windows that reach half a string before, or behind,
+#: the gram are to be compared.
+WHOLE, BEFORE, BEHIND = 1, 2, 4
 NO_KEY = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -112,7 +118,7 @@ class Block:
     """Documents laid end to end, and the runs of windows that share an initial bucket.
 
     A run: start (place of its first window), size (windows), entry. Entries are the distinct runs: bucket, content, the
-    smallest key, and a run of it (head)."""
+    smallest key, a run of it (head), and the flanks."""
 
     data: np.ndarray
     bounds: np.ndarray
@@ -125,6 +131,9 @@ class Block:
     content: np.ndarray
     key: np.ndarray
     head: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    anchor: np.ndarray
 
 
 def window_hash(words: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
@@ -139,7 +148,7 @@ def laid_out(texts: list[bytes], keys: np.ndarray, least: int = LEAST) -> Block:
     bounds = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
     n, reach = int(bounds[-1]), least - GRAM + 1
     words = words_at(data)
-    grams = mixed(mixed(words[:n]) + words[8 : n + 8])
+    grams = mixed(words[:n] * _M2 + words[8 : n + 8])
     low = slid(grams, reach, np.minimum) if n >= reach else np.zeros(0, np.uint64)  # by a window's start
     last = np.repeat(bounds[1:] - least, np.diff(bounds))  # by place: the last start of a window in its document
     place = np.arange(n)
@@ -162,15 +171,40 @@ def laid_out(texts: list[bytes], keys: np.ndarray, least: int = LEAST) -> Block:
     entry = np.empty(len(order), np.int64)
     entry[order] = np.cumsum(new) - 1
     head = order[new]
-    return Block(data, bounds, keys, start, size, owner, entry, bucket[head], content[head], keys[owner[head]], head)
+    left, right, anchor = flanks(words, grams, start[head], size[head], bucket[head], least)
+    return Block(data, bounds, keys, start, size, owner, entry, bucket[head], content[head], keys[owner[head]], head, left, right, anchor)
+
+
+def flanks(words: np.ndarray, grams: np.ndarray, start: np.ndarray, size: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, anchor) of runs: hashes of the bytes beside the run's gram, which is at anchor. Two windows that are equal
+    have half of their other bytes, or more, equal before the gram or behind it. NONE: the run hasn't so many there;
+    ANY: the gram occurs twice."""
+    half, span = (least - GRAM + 1) // 2, least - GRAM + size
+    within = np.repeat(start, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+    is_gram = grams[within] == np.repeat(bucket, span)
+    of = np.repeat(np.arange(len(start)), span)[is_gram]
+    anchor = np.zeros(len(start), np.int64)
+    anchor[of[::-1]] = within[is_gram][::-1]
+    twice = np.bincount(of, minlength=len(start)) > 1
+    out = []
+    for at, there in ((anchor - half, anchor - half >= start), (anchor + GRAM, anchor + GRAM + half <= start + size - 1 + least)):
+        at = np.where(there, at, 0)
+        h = np.zeros(len(at), np.uint64)
+        for o in [*range(0, half - 8, 8), half - 8]:
+            h = mixed(h * _M2 + words[at + o])
+        out.append(np.where(twice, ANY, np.where(there, h % np.uint64(ANY - 1) + np.uint64(1), NONE)).astype("<u2"))
+    return out[0], out[1], anchor
 
 
 def open_windows(b: Block, status: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of entries of status 2, refined: (their starts, keys, bucket number), and each bucket's hash and least key."""
-    e = np.flatnonzero(status == 2)
+    """The windows to compare, refined: (their starts, keys, bucket number), and each bucket's hash and least key."""
+    e = np.flatnonzero(status > WHOLE)
     size, first = b.size[b.head[e]], b.start[b.head[e]]
     starts = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    keys = np.repeat(b.key[e], size)
+    before = np.repeat(b.anchor[e], size) - starts >= (least - GRAM + 1) // 2
+    told = np.repeat(status[e], size)
+    asked = (before & (told & BEFORE > 0)) | (~before & (told & BEHIND > 0)) | (told == BEFORE + BEHIND)
+    starts, keys = starts[asked], np.repeat(b.key[e], size)[asked]
     if not len(starts):
         return starts, keys, np.zeros(0, np.int64), np.zeros(0, np.uint64), keys
     group = ranks(b.data, starts, least)
@@ -185,11 +219,11 @@ def covered(b: Block, status: np.ndarray, starts: np.ndarray, keys: np.ndarray,
     hit[starts] = (smallest[group] < keys) | elsewhere[group]
     part = status[b.entry]
     own = b.keys[b.owner] == b.key[b.entry]
-    whole = (part == 1) | ~own
+    whole = (part == WHOLE) | ~own
     mark = np.zeros(len(b.data) + 1, np.int64)
     np.add.at(mark, b.start[whole], 1)
     np.add.at(mark, b.start[whole] + b.size[whole] + least - 1, -1)
-    some = np.flatnonzero((part == 2) & own)
+    some = np.flatnonzero((part > WHOLE) & own)
     size = b.size[some]
     place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     yes = hit[np.repeat(b.start[b.head[b.entry[some]]], size) + place]
@@ -212,11 +246,11 @@ def dealt(names: np.ndarray, parts: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
-def sent(block: int, part_of: np.ndarray, parts: int, columns: list[np.ndarray]) -> pa.Table:
-    """A row for each part: the columns' values of the entries dealt to it, in their order."""
-    order = np.argsort(part_of, kind="stable")
+def sent(block: int, part_of: np.ndarray, parts: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+    """A row for each part: the keys (as differences) and columns of the entries dealt to it, by key."""
+    order = np.lexsort((keys, part_of))
     cut = np.searchsorted(part_of[order], np.arange(parts + 1))
-    rows = [(p, packed(*(c[order[cut[p] : cut[p + 1]]] for c in columns)), int(cut[p + 1] - cut[p])) for p in range(parts) if cut[p + 1] > cut[p]]
+    rows = [(p, packed(np.diff(keys[order[cut[p] : cut[p + 1]]], prepend=0), *(c[order[cut[p] : cut[p + 1]]] for c in columns)), int(cut[p + 1] - cut[p])) for p in range(parts) if cut[p + 1] > cut[p]]
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64()), "body": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -231,15 +265,16 @@ def answered(rows: pa.Table, step: int, values: np.ndarray) -> pa.Table:
     return pa.table({"block": rows.column("block"), "step": pa.array([step] * len(n), pa.int32()), "part": rows.column("part"), "n": rows.column("n"), "body": pa.array(bodies, pa.binary())})
 
 
-def opened(rows: pa.Table, widths: list[int]) -> list[np.ndarray]:
-    """The columns of all rows' bodies, as bytes (values x width)."""
-    out = [[] for _ in widths]
+def opened(rows: pa.Table, widths: list[int]) -> tuple[np.ndarray, ...]:
+    """The keys, and the columns as numbers of so many bytes, of all rows."""
+    keys, out = [], [[] for _ in widths]
     for n, body in zip(rows.column("n").to_pylist(), rows.column("body").to_pylist()):
-        raw, at = np.frombuffer(zlib.decompress(body), np.uint8), 0
+        raw, at = np.frombuffer(zlib.decompress(body), np.uint8), n * 8
+        keys.append(np.cumsum(raw[:at].view("<i8")))
         for c, w in zip(out, widths):
             c.append(raw[at : at + n * w].reshape(n, w))
             at += n * w
-    return [np.concatenate(c) if c else np.zeros((0, w), np.uint8) for c, w in zip(out, widths)]
+    return np.concatenate(keys), *(number(np.concatenate(c)) for c in out)
 
 
 def number(raw: np.ndarray) -> np.ndarray:
@@ -249,26 +284,31 @@ def number(raw: np.ndarray) -> np.ndarray:
 
 
 def runs_met(rows):
-    """Over all blocks' runs of some buckets: 1 if a smaller key has the same run, 2 if windows must be compared, else 0."""
-    bucket, content, raw = opened(rows, [5, 5, 8])
-    bucket, content, key = number(bucket), number(content), np.ascontiguousarray(raw).view("<i8")[:, 0]
+    """What to tell of each run: see WHOLE, BEFORE, BEHIND. 0: no smaller key has a string of it."""
+    key, bucket, content, left, right = opened(rows, [5, 5, 2, 2])
     order = np.lexsort((key, content, bucket))
     bk, ct, ky = bucket[order], content[order], key[order]
     one = np.r_[True, bk[1:] != bk[:-1]]
     run = one | np.r_[True, ct[1:] != ct[:-1]]
-    in_bucket, in_run = np.cumsum(one) - 1, np.cumsum(run) - 1
-    least = ky[run]  # of each run
-    low, high = np.minimum.reduceat(least, in_run[one]), np.maximum.reduceat(least, in_run[one])
-    value = np.where(ky > least[in_run], 1, np.where((low < high)[in_bucket], 2, 0))
+    in_bucket, in_run = (np.cumsum(one) - 1)[run], np.cumsum(run) - 1
+    least, sides = ky[run], (left[order][run], right[order][run])  # of each distinct run
+    low, high = np.minimum.reduceat(least, np.flatnonzero(one[run])), np.maximum.reduceat(least, np.flatnonzero(one[run]))
+    any_ = np.bincount(in_bucket, weights=(sides[0] == ANY) | (sides[1] == ANY)) > 0
+    told = np.where((any_ & (low < high))[in_bucket], BEFORE + BEHIND, 0)
+    for bit, side in zip((BEFORE, BEHIND), sides):
+        by = np.lexsort((side, in_bucket))
+        new = np.r_[True, (in_bucket[by][1:] != in_bucket[by][:-1]) | (side[by][1:] != side[by][:-1])]
+        low, high = np.minimum.reduceat(least[by], np.flatnonzero(new)), np.maximum.reduceat(least[by], np.flatnonzero(new))
+        met = (low < high)[np.cumsum(new) - 1] & (side[by] != NONE)
+        told[by[met]] |= bit
     back = np.empty(len(order), np.int64)
-    back[order] = value
+    back[order] = np.where(ky > least[in_run], WHOLE, told[in_run])
     return answered(rows, 1, back)
 
 
 def windows_met(rows):
     """1 if a smaller key has the same window."""
-    name, raw = opened(rows, [8, 8])
-    name, key = number(name), np.ascontiguousarray(raw).view("<i8")[:, 0]
+    key, name = opened(rows, [8])
     order = np.lexsort((key, name))
     new = np.r_[True, name[order][1:] != name[order][:-1]]
     back = np.empty(len(order), np.int64)
@@ -276,9 +316,10 @@ def windows_met(rows):
     return answered(rows, 2, back)
 
 
-def replies(answers: pa.Table, step: int, part_of: np.ndarray) -> np.ndarray:
+def replies(answers: pa.Table, step: int, part_of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The answers in the order of the entries that were sent."""
     out = np.zeros(len(part_of), np.uint8)
-    order = np.argsort(part_of, kind="stable")
+    order = np.lexsort((keys, part_of))
     for s, p, body in zip(*(answers.column(c).to_pylist() for c in ("step", "part", "body"))):
         if s == step:
             a, z = np.searchsorted(part_of[order], [p, p + 1])
@@ -308,21 +349,21 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     def tell_runs(key_, docs):
         _, b = read(docs)
-        return sent(key_[0].as_py(), dealt(b.bucket, parts), parts, [five(b.bucket), five(b.content), b.key])
+        return sent(key_[0].as_py(), dealt(b.bucket, parts), parts, b.key, [five(b.bucket), five(b.content), b.left, b.right])
 
     def tell_windows(key_, docs, answers):
         _, b = read(docs)
-        _, _, _, name, smallest = open_windows(b, replies(answers, 1, dealt(b.bucket, parts)), least)
-        return sent(key_[0].as_py(), dealt(name, parts), parts, [name, smallest])
+        _, _, _, name, smallest = open_windows(b, replies(answers, 1, dealt(b.bucket, parts), b.key), least)
+        return sent(key_[0].as_py(), dealt(name, parts), parts, smallest, [name])
 
     fields = [T.StructField(c, df.schema[c].dataType) for c in names]
     schema = T.StructType([*fields, T.StructField(added[0], T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in added[1:])])
 
     def take_away(key_, docs, answers):
         docs, b = read(docs)
-        status = replies(answers, 1, dealt(b.bucket, parts))
+        status = replies(answers, 1, dealt(b.bucket, parts), b.key)
         starts, keys, group, name, smallest = open_windows(b, status, least)
-        gone = covered(b, status, starts, keys, group, smallest, replies(answers, 2, dealt(name, parts)) > 0, least)
+        gone = covered(b, status, starts, keys, group, smallest, replies(answers, 2, dealt(name, parts), smallest) > 0, least)
         rows = [(b.data[a:z], gone[a:z]) for a, z in zip(b.bounds, b.bounds[1:])]
         out = [docs.column(f"{block}_{i}") for i in range(len(names))]
         left = [d[~g].tobytes() for d, g in rows]
