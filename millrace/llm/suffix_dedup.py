@@ -50,9 +50,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as a number, in byte order; data ends with seven more bytes."""
-    return np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).copy().view(">u8")[:, 0].astype(np.uint64)
+def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, in byte order."""
+    return np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))[at].view(">u8")[:, 0].astype(np.uint64)
+
+
+def all_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, in the machine's order; the last seven places have none."""
+    n = len(data) - 7
+    out = np.empty(n, np.uint64)
+    for k in range(8):
+        out[k::8] = np.frombuffer(data, "<u8", len(range(k, n, 8)), k)
+    return out
 
 
 def renamed(values: np.ndarray) -> np.ndarray:
@@ -66,7 +75,7 @@ def ranks(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + depth - 7, -1)
     offsets, q = np.flatnonzero(np.cumsum(edge)), 8  # all places that later steps ask for
-    ids = renamed(words_at(data)[offsets])
+    ids = renamed(words_at(data, offsets))
     while q < depth:
         step = min(q, depth - q)
         later = np.minimum(np.searchsorted(offsets, offsets + step), len(offsets) - 1)
@@ -81,8 +90,9 @@ def suffix_array(data: bytes) -> np.ndarray:
     n = len(data)
     padded = np.r_[np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]
     left = np.minimum(n - np.arange(n), 8).astype(np.uint64)
-    order = np.lexsort((left, words_at(padded)[:n]))
-    key = np.stack([words_at(padded)[:n][order], left[order]])
+    first = words_at(padded, np.arange(n))
+    order = np.lexsort((left, first))
+    key = np.stack([first[order], left[order]])
     ids = np.zeros(n, np.int64)
     new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)] if n else np.zeros(0, bool)
     ids[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -136,20 +146,36 @@ class Block:
     anchor: np.ndarray
 
 
-def window_hash(words: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
-    h = np.full(len(at), least, np.uint64)
-    for o in [*range(0, least - 8, 8), least - 8]:
-        h = mixed(h * _M2 + words[at + o])
+def string_hash(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    h = np.full(len(at), length, np.uint64)
+    for o in [*range(0, length - 8, 8), length - 8]:
+        h = mixed(h * _M2 + words_at(data, at + o))
     return h
 
 
+def smallest_grams(data: np.ndarray, n: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By window start the smallest hash of its grams; all places of such grams, and their hashes. In steps that fit a cache."""
+    low, places, hashes, step = np.zeros(max(0, n - reach + 1), np.uint64), [], [], 1 << 15
+    for at in range(0, len(low), step):
+        end = min(at + step, len(low))
+        start = max(0, at - reach + 1)  # a gram at `at` may be the smallest of a window that starts so far before
+        words = all_words(data[start : end + reach + GRAM])
+        grams = mixed(words[: end + reach - 1 - start] * _M2 + words[8 : end + reach + 7 - start])
+        part = slid(grams, reach, np.minimum)
+        low[at:end] = part[at - start :]
+        most = slid(np.r_[np.zeros(reach - 1, np.uint64), part, np.zeros(reach - 1, np.uint64)], reach, np.maximum)
+        hit = np.flatnonzero(most == grams)
+        hit = hit[(hit >= at - start) & ((hit < end - start) | (end == len(low)))]
+        places.append(hit + start)
+        hashes.append(grams[hit])
+    return low, *(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((places, np.int64), (hashes, np.uint64)))
+
+
 def laid_out(texts: list[bytes], keys: np.ndarray, least: int = LEAST) -> Block:
     data = np.frombuffer(b"".join(texts) + b"\0" * 64, np.uint8)
     bounds = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
     n, reach = int(bounds[-1]), least - GRAM + 1
-    words = words_at(data)
-    grams = mixed(words[:n] * _M2 + words[8 : n + 8])
-    low = slid(grams, reach, np.minimum) if n >= reach else np.zeros(0, np.uint64)  # by a window's start
+    low, places, grams = smallest_grams(data, n, reach)
     last = np.repeat(bounds[1:] - least, np.diff(bounds))  # by place: the last start of a window in its document
     place = np.arange(n)
     valid = (place <= last)[: len(low)]
@@ -165,34 +191,38 @@ def laid_out(texts: list[bytes], keys: np.ndarray, least: int = LEAST) -> Block:
     size = np.minimum(np.repeat(ends, parts) - start, least)
     owner = np.searchsorted(bounds, start, "right") - 1
     bucket = low[start]
-    content = mixed(window_hash(words, start, least) + mixed(window_hash(words, start + size - 1, least) + size.astype(np.uint64)))
-    order = np.lexsort((start, keys[owner], content, bucket))
-    new = np.r_[True, (bucket[order][1:] != bucket[order][:-1]) | (content[order][1:] != content[order][:-1])][: len(order)]
-    entry = np.empty(len(order), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    head = order[new]
-    left, right, anchor = flanks(words, grams, start[head], size[head], bucket[head], least)
+    content = mixed(string_hash(data, start, least) + mixed(string_hash(data, start + size - 1, least) + size.astype(np.uint64)))
+    name = mixed(content) + bucket
+    order = np.argsort(name, kind="stable")  # documents lie by key, so the first run of a name has its smallest key
+    new = np.r_[True, name[order][1:] != name[order][:-1]][: len(order)]
+    first = np.empty(len(order), np.int64)
+    first[order] = order[new][np.cumsum(new) - 1]
+    head = np.flatnonzero(first == np.arange(len(first)))
+    entry = np.searchsorted(head, first)
+    left, right, anchor = flanks(data, places, grams, start[head], size[head], bucket[head], least)
     return Block(data, bounds, keys, start, size, owner, entry, bucket[head], content[head], keys[owner[head]], head, left, right, anchor)
 
 
-def flanks(words: np.ndarray, grams: np.ndarray, start: np.ndarray, size: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flanks(data: np.ndarray, places: np.ndarray, grams: np.ndarray, start: np.ndarray, size: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, anchor) of runs: hashes of the bytes beside the run's gram, which is at anchor. Two windows that are equal
     have half of their other bytes, or more, equal before the gram or behind it. NONE: the run hasn't so many there;
     ANY: the gram occurs twice."""
-    half, span = (least - GRAM + 1) // 2, least - GRAM + size
-    within = np.repeat(start, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-    is_gram = grams[within] == np.repeat(bucket, span)
-    of = np.repeat(np.arange(len(start)), span)[is_gram]
-    anchor = np.zeros(len(start), np.int64)
-    anchor[of[::-1]] = within[is_gram][::-1]
-    twice = np.bincount(of, minlength=len(start)) > 1
+    half, end = (least - GRAM + 1) // 2, start + size - 1 + least
+    anchor, count = np.full(len(start), -1), np.zeros(len(start), np.int64)
+    live = np.arange(len(start))
+    at = np.searchsorted(places, start)
+    while len(live):
+        inside = at < len(places)
+        inside[inside] &= places[at[inside]] + GRAM <= end[live[inside]]
+        live, at = live[inside], at[inside]
+        same = grams[at] == bucket[live]
+        anchor[live[same & (count[live] == 0)]] = places[at[same & (count[live] == 0)]]
+        count[live[same]] += 1
+        at += 1
     out = []
-    for at, there in ((anchor - half, anchor - half >= start), (anchor + GRAM, anchor + GRAM + half <= start + size - 1 + least)):
-        at = np.where(there, at, 0)
-        h = np.zeros(len(at), np.uint64)
-        for o in [*range(0, half - 8, 8), half - 8]:
-            h = mixed(h * _M2 + words[at + o])
-        out.append(np.where(twice, ANY, np.where(there, h % np.uint64(ANY - 1) + np.uint64(1), NONE)).astype("<u2"))
+    for at, there in ((anchor - half, anchor - half >= start), (anchor + GRAM, anchor + GRAM + half <= end)):
+        h = string_hash(data, np.where(there, at, 0), half)
+        out.append(np.where(count > 1, ANY, np.where(there, h % np.uint64(ANY - 1) + np.uint64(1), NONE)).astype("<u2"))
     return out[0], out[1], anchor
 
 
@@ -210,7 +240,7 @@ def open_windows(b: Block, status: np.ndarray, least: int = LEAST) -> tuple[np.n
     group = ranks(b.data, starts, least)
     order = np.lexsort((keys, group))
     head = order[np.r_[True, group[order][1:] != group[order][:-1]]]
-    return starts, keys, group, window_hash(words_at(b.data), starts[head], least), keys[head]
+    return starts, keys, group, string_hash(b.data, starts[head], least), keys[head]
 
 
 def covered(b: Block, status: np.ndarray, starts: np.ndarray, keys: np.ndarray, group: np.ndarray, smallest: np.ndarray, elsewhere: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -246,9 +276,15 @@ def dealt(names: np.ndarray, parts: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
+def by_part(part_of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if (keys[1:] < keys[:-1]).any():
+        return np.lexsort((keys, part_of))
+    return np.argsort(part_of.astype(np.uint16) if len(part_of) and part_of.max() < 1 << 16 else part_of, kind="stable")
+
+
 def sent(block: int, part_of: np.ndarray, parts: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     """A row for each part: the keys (as differences) and columns of the entries dealt to it, by key."""
-    order = np.lexsort((keys, part_of))
+    order = by_part(part_of, keys)
     cut = np.searchsorted(part_of[order], np.arange(parts + 1))
     rows = [(p, packed(np.diff(keys[order[cut[p] : cut[p + 1]]], prepend=0), *(c[order[cut[p] : cut[p + 1]]] for c in columns)), int(cut[p + 1] - cut[p])) for p in range(parts) if cut[p + 1] > cut[p]]
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64()), "body": pa.array([r[1] for r in rows], pa.binary())})
@@ -319,7 +355,7 @@ def windows_met(rows):
 def replies(answers: pa.Table, step: int, part_of: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The answers in the order of the entries that were sent."""
     out = np.zeros(len(part_of), np.uint8)
-    order = np.lexsort((keys, part_of))
+    order = by_part(part_of, keys)
     for s, p, body in zip(*(answers.column(c).to_pylist() for c in ("step", "part", "body"))):
         if s == step:
             a, z = np.searchsorted(part_of[order], [p, p + 1])

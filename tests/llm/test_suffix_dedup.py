@@ -60,6 +60,21 @@ def test_ranks():
     assert [want[k] for k in found] == [data[i : i + 50] for i in starts]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_smallest_grams_over_steps(seed):
+    r = random.Random(seed)
+    data = np.frombuffer(bytes(r.choices(b"abcd"[: r.randint(1, 4)], k=r.choice([0, 34, 35, 36, 100, 32767, 32768, 70000]))) + bytes(64), np.uint8)
+    n, reach = len(data) - 64, 35
+    low, places, grams = S.smallest_grams(data, n, reach)
+    words = S.all_words(data)
+    all_ = S.mixed(words[:n] * S._M2 + words[8 : n + 8])
+    want = S.slid(all_, reach, np.minimum) if n >= reach else all_[:0]
+    assert (low == want).all()
+    hit = {i + int(k) for i in range(len(want)) for k in np.flatnonzero(all_[i : i + reach] == want[i])} if n < 200 else None
+    assert hit is None or places.tolist() == sorted(hit)
+    assert (all_[places] == grams).all() and (np.diff(places) > 0).all()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_as_defined(spark, seed):
     texts = [t.decode() for t in corpus(seed)]
