@@ -12,8 +12,8 @@ however large, gives a row for each text.
 
 Equal texts are one node from the start. Defined results: null texts are empty; all texts without a word are equal only
 if their text is; texts of one to four words are one shingle; a null key's document is in the class of its equal texts
-only; class_id is the smallest key of the class (null if all its keys are null). Repeated rows share a class. Extra
-columns pass through.
+only; class_id is the smallest key of the class (null if all its keys are null). Rows of one key share a class,
+even if their texts differ. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, pieces, quoted
+from .common import checkpointed, fresh, pieces, quoted, saved
 
 #: Words of a shingle, and the weighted Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
@@ -198,10 +198,11 @@ def classed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpointed(buckets.join(full, "bucket"))
-    central = members.groupBy("id").agg(F.sum("n").alias("c"))
+    central = checkpointed(members.groupBy("id").agg(F.sum("n").alias("c")))
     leaders = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("id")).alias("b"))).alias("l")).select("bucket", (-F.col("l.b")).alias("b"))
     pairs = members.join(leaders, "bucket").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
-    texts = plain.join(nodes.select("id", "h1"), ["id", "h1"]).select("id", "body")
+    wanted = central.join(nodes.select("id", "h1"), "id").select("id", "h1")  # the texts that have a candidate
+    texts = saved(plain.select("id", "h1", "body").join(wanted, ["id", "h1"]).dropDuplicates(["id", "h1"]).select("id", "body"))
     links = checkpointed(linked(likely(pairs, nodes), texts))
     roots = components(links)
     rooted = checkpointed(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
