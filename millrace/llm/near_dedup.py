@@ -35,6 +35,8 @@ BANDS, ROWS = 26, 5
 LEAST_EQUAL = 0.62
 #: Bytes of text handled at once.
 STEP_BYTES = 2 << 20
+#: Bytes of texts that are compared as a block with another.
+BLOCK_BYTES = 1 << 18
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
@@ -169,6 +171,52 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ba", "bb").mapInArrow(compare, "a long, b long").distinct()
 
 
+def crossing(rooted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) of different classes that share a bucket; rooted(bucket, id, root).
+
+    The texts outside a bucket's largest class stand as queries against all texts of the bucket, both in blocks of about
+    BLOCK_BYTES; a pair of blocks is compared at once and gives its links only."""
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root")).alias("most")).filter("classes > 1").select("bucket", F.col("most.root").alias("most"))
+    open_ = rooted.join(most, "bucket").select("bucket", "id", "root", (F.col("root") != F.col("most")).alias("asks"))
+    whole = open_.join(texts, "id")
+    weight = whole.groupBy("bucket", "asks").agg(F.sum(F.octet_length("body") + 512).alias("w")).select("bucket", "asks", F.ceil(F.col("w") / BLOCK_BYTES).alias("blocks"))
+    placed = whole.join(weight, ["bucket", "asks"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    blocks = placed.groupBy("bucket", "asks", "block").agg(F.collect_list(F.struct("id", "root", "body")).alias("rows"))
+    asking = blocks.filter("asks").select("bucket", F.col("block").alias("mine"), F.col("rows").alias("ra"))
+    pairs = asking.join(blocks.withColumnRenamed("rows", "rb"), "bucket").filter("not asks or block >= mine").select("ra", "rb")
+
+    def compare(batches):
+        for b in batches:
+            for x, y in zip(b.column("ra"), b.column("rb")):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, links_between(*(pa.array(r.values) for r in (x, y))))], names=["a", "b"])
+
+    return pairs.mapInArrow(compare, "a long, b long").distinct()
+
+
+def links_between(x: pa.StructArray, y: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of similar texts of different roots of two blocks of (id, root, body)."""
+    doc, cell = cells([t or b"" for t in (*x.field("body").to_pylist(), *y.field("body").to_pylist())])
+    n, (ids, roots) = len(x), (np.concatenate([r.field(c).to_numpy() for r in (x, y)]) for c in ("id", "root"))
+    weight = np.bincount(doc, minlength=len(ids)).astype(np.float32)
+    left = doc < n
+    met = np.isin(cell, np.intersect1d(cell[left], cell[~left]))
+    doc, left, (known, at) = doc[met], left[met], np.unique(cell[met], return_inverse=True)
+    columns = np.zeros((len(known), len(ids) - n), np.float32)
+    columns[at[~left], doc[~left] - n] = 1
+    step, found = max(1, (1 << 24) // max(len(known), 1)), []
+    for first in range(0, n, step):
+        mine = left & (doc >= first) & (doc < first + step)
+        rows = np.zeros((min(step, n - first), len(known)), np.float32)
+        rows[doc[mine] - first, at[mine]] = 1
+        both = rows @ columns
+        like = both >= SIMILAR * (weight[first : first + len(rows), None] + weight[None, n:] - both)
+        i, j = np.nonzero(like & (both > 0) & (roots[first : first + len(rows), None] != roots[None, n:]))
+        found.append((ids[i + first], ids[j + n]))
+    a, b = (np.concatenate(c) for c in zip(*found))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of the nodes of links(a, b): root is the smallest id that links lead to. Labels hook and jump, in a logarithm of rounds."""
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
@@ -206,13 +254,7 @@ def classed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     links = checkpointed(linked(likely(pairs, nodes), texts))
     roots = components(links)
     rooted = checkpointed(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root")).alias("most")).filter("classes > 1")
-    open_ = rooted.join(mixed_.select("bucket", F.col("most.root").alias("most")), "bucket")
-    outside = open_.filter("root != most").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    cross = outside.join(open_.select("bucket", F.col("id").alias("b"), "root"), "bucket").filter("ra != root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = checkpointed(linked(likely(cross, nodes), texts))
+    more = checkpointed(crossing(rooted, texts))
     if not more.isEmpty():
         roots = components(links.union(more))
     classes = first.join(roots, "id", "left").select("h1", "h2", "id", F.coalesce("root", "id").alias("root"), F.col("row").alias("first_row"))

@@ -64,6 +64,17 @@ def test_classes_as_by_all_pairs(spark, docs):
     assert [out[i] for i in range(len(texts))] == brute([t or "" for t in texts])
 
 
+def test_no_link_is_lost_in_one_large_group(spark, docs, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = family(r, words, 150, 14)
+    found = brute(texts)
+    assert 3 < len(set(found)) < 140
+    monkeypatch.setattr(N, "BLOCK_BYTES", 1 << 14)
+    out = {x.doc_id: x.class_id for x in N.classed(docs(texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == found
+
+
 def test_edges(spark):
     t = " ".join(f"w{i}" for i in range(40))
     rows = [(5, t, "x"), (5, t, "x"), (None, t, "y"), (3, t + " more", "z"), (None, "other", "q")]
