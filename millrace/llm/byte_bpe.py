@@ -12,6 +12,7 @@ import base64
 import codecs
 import hashlib
 import json
+import os
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -61,6 +62,7 @@ def described(path: str, pattern: str) -> str:
 
 class Codec:
     def __init__(self, description: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)

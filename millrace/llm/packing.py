@@ -10,6 +10,9 @@ and piece. Equal rows are packed each for itself. Extra columns are left out.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from functools import cache
 
@@ -18,36 +21,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, quoted
+from .common import ids_by_chunk, pieces, quoted
 
 #: Tokens of a sequence.
 ROOM = 4096
 #: Pieces of a group, about.
 GROUP_ROWS = 1 << 17
-#: Words whose ids a worker remembers; at more it forgets all.
-WORDS = 300_000
+#: Parts of texts whose ids a worker remembers (about 200 bytes each); at more it forgets all.
+WORDS = 1_500_000
 STEP_BYTES = 2 << 20
 
 
+def of_kind(kind: str) -> str:
+    """The characters below U+0180 of a general category, for a character class."""
+    return "".join(re.escape(chr(i)) for i in range(0x180) if unicodedata.category(chr(i))[0] == kind)
+
+
+#: The tokenizer's own pattern, for texts of characters below U+0180.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of_kind('L')}]+|[{of_kind('N')}]|[^\\s{of_kind('L')}{of_kind('N')}]+")
+#: What other texts have: characters from U+0180 on, controls, and the capital whose small form is two characters.
+OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-\u012f\u0131-\u017f]")
+
+
 class Encoder:
-    """ids of texts as the library gives them, by words between ASCII white space: the tokenizer drops white space, and neither
-    its normalizer nor its pattern looks across it. A word's ids are remembered as bytes (little-endian, unsigned 32 bits)."""
+    """ids of texts as the library gives them. The tokenizer lower-cases, cuts by its pattern, drops white space, and encodes each
+    part by itself; so a part is encoded once and its ids remembered, as bytes (little-endian, unsigned 32 bits). Texts with
+    other characters than those below U+0180 are encoded by the library as a whole."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().split() for t in texts]
+        plain = [not OTHER.search(t) for t in texts]
+        cut = [PARTS.findall(t.lower()) if p else () for t, p in zip(texts, plain)]
         if len(self.known) > WORDS:
             self.known = {}
-        new = list({w for words in cut for w in words}.difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        new = list(set().union(*cut).difference(self.known))
+        for at in range(0, len(new), 256):
+            part = new[at : at + 256]
+            for w, ids in zip(part, ids_by_chunk(self.tokenizer, part, " ")):
+                self.known[w] = ids.astype("<u4").tobytes()
+        whole = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        rest = (np.array(e.ids, "<u4").tobytes() for e in whole)
+        return [b"".join(map(self.known.__getitem__, parts)) if p else next(rest) for parts, p in zip(cut, plain)]
 
 
 @cache

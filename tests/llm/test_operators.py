@@ -223,6 +223,16 @@ def test_pieces_as_the_library_gives(spark, docs, texts):
     assert packing.in_sequences(docs([]), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_ids_of_odd_characters():
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    tok, enc = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.encoder(P.path("word_bpe_49k.json"))
+    odd = ["'s", "'RE", "!'d", "''ll", "ß", "ÀÉ", "ﬁ", "²3", "¼", "ª", "\xa0", "\xad", "\u0130", "\u0131", "\u017f", "\u0149", "\u0300", "\x1c", "\x85", "\x7f", "<|", "endoftext", "|>", "\u01c5", "x", "Word", "..", " ", "\n", "\t "]
+    texts = ["".join(r.choices(odd, k=r.randint(0, 12))) for _ in range(3000)] + [chr(i) for i in range(0x250)] + [f"a{chr(i)}b" for i in range(0x250)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def brute_pack(lengths, room):
     bins = []
     for n in lengths:
