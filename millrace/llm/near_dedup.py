@@ -34,7 +34,7 @@ BANDS, ROWS = 26, 5
 #: Share of equal coordinates below which a candidate isn't compared: five standard deviations below 0.8.
 LEAST_EQUAL = 0.62
 #: Bytes of text handled at once.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Bytes of texts that are compared as a block with another.
 BLOCK_BYTES = 1 << 18
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -204,7 +204,7 @@ def links_between(x: pa.StructArray, y: pa.StructArray) -> tuple[np.ndarray, np.
     doc, left, (known, at) = doc[met], left[met], np.unique(cell[met], return_inverse=True)
     columns = np.zeros((len(known), len(ids) - n), np.float32)
     columns[at[~left], doc[~left] - n] = 1
-    step, found = max(1, (1 << 24) // max(len(known), 1)), []
+    step, found = max(1, (1 << 22) // max(len(known), 1)), []
     for first in range(0, n, step):
         mine = left & (doc >= first) & (doc < first + step)
         rows = np.zeros((min(step, n - first), len(known)), np.float32)

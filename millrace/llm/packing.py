@@ -28,7 +28,7 @@ ROOM = 4096
 #: Pieces of a group, about.
 GROUP_ROWS = 1 << 17
 #: Parts of texts whose ids a worker remembers (about 200 bytes each); at more it forgets all.
-WORDS = 1_500_000
+WORDS = 500_000
 STEP_BYTES = 2 << 20
 
 

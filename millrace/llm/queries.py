@@ -80,7 +80,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return byte_bpe.tokenized(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+    return byte_bpe.tokenized(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False).drop("text")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
