@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, pieces, quoted, saved
+from .common import checkpointed, fresh, pieces, quoted, saved, small_batches
 
 #: Words of a shingle, and the weighted Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
@@ -251,10 +251,12 @@ def classed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     pairs = members.join(leaders, "bucket").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
     wanted = central.join(nodes.select("id", "h1"), "id").select("id", "h1")  # the texts that have a candidate
     texts = saved(plain.select("id", "h1", "body").join(wanted, ["id", "h1"]).dropDuplicates(["id", "h1"]).select("id", "body"))
-    links = checkpointed(linked(likely(pairs, nodes), texts))
+    with small_batches(df.sparkSession):  # rows hold two texts, or two blocks of them
+        links = checkpointed(linked(likely(pairs, nodes), texts))
     roots = components(links)
     rooted = checkpointed(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
-    more = checkpointed(crossing(rooted, texts))
+    with small_batches(df.sparkSession):
+        more = checkpointed(crossing(rooted, texts))
     if not more.isEmpty():
         roots = components(links.union(more))
     classes = first.join(roots, "id", "left").select("h1", "h2", "id", F.coalesce("root", "id").alias("root"), F.col("row").alias("first_row"))
