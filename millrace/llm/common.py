@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +69,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a piece's `column` has about `most` bytes; a longer single row is a piece of its own."""
+@cache
+def _trim():
+    """glibc's malloc_trim, or a function that does nothing where the C library has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def given_back() -> None:
+    """Memory that this worker has freed goes back to the system, so that workers which rest between blocks hold little."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int, row_bytes: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece's `column` has about `most` bytes; a longer single row is a piece of its own.
+    row_bytes: what each row counts beside its bytes."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        sizes = [n + row_bytes for n in pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()]
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > most:

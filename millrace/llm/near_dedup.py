@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, pieces, quoted, saved, small_batches
+from .common import checkpointed, fresh, given_back, pieces, quoted, saved, small_batches
 
 #: Words of a shingle, and the weighted Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
@@ -33,8 +33,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Share of equal coordinates below which a candidate isn't compared: five standard deviations below 0.8.
 LEAST_EQUAL = 0.62
-#: Bytes of text handled at once.
-STEP_BYTES = 1 << 20
+#: Bytes of text handled at once, and what a text counts beside its own: a short one takes as many darts as a long one.
+STEP_BYTES, ROW_BYTES = 1 << 20, 1 << 10
 #: Bytes of texts that are compared as a block with another.
 BLOCK_BYTES = 1 << 18
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -126,13 +126,14 @@ def signed(docs: DataFrame) -> DataFrame:
     """docs(id, h1, h2, body) to (id, h1, h2, bands, marks): a byte of each coordinate serves to estimate."""
 
     def sign(batches):
-        for b in pieces(batches, "body", STEP_BYTES):
+        for b in pieces(batches, "body", STEP_BYTES, ROW_BYTES):
             doc, cell = cells([t or b"" for t in b.column("body").to_pylist()])
             found = signatures(doc, cell, b.num_rows)
             bands, some = hashed_bands(found), np.bincount(doc, minlength=b.num_rows) > 0
             offsets = pa.array(np.r_[0, np.cumsum(some * BANDS)], pa.int32())
             marks = [m.tobytes() for m in mixed(found).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h1"), b.column("h2"), pa.ListArray.from_arrays(offsets, pa.array(bands[some].ravel())), pa.array(marks, pa.binary())], names=["id", "h1", "h2", "bands", "marks"])
+        given_back()
 
     return docs.mapInArrow(sign, "id long, h1 long, h2 long, bands array<long>, marks binary")
 
@@ -156,7 +157,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            for b in pieces(pieces([batch], "ba", STEP_BYTES), "bb", STEP_BYTES):
+            for b in pieces(pieces([batch], "ba", STEP_BYTES, ROW_BYTES), "bb", STEP_BYTES, ROW_BYTES):
                 known = {}
                 for i, t in [*zip(b.column("b").to_pylist(), b.column("bb").to_pylist()), *zip(b.column("a").to_pylist(), b.column("ba").to_pylist())]:
                     known.setdefault(i, t or b"")
@@ -165,6 +166,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 of = {i: cell[cut[j] : cut[j + 1]] for j, i in enumerate(known)}
                 good = [similarity(of[x], of[y]) >= SIMILAR for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
                 yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+        given_back()
 
     with_a = pairs.join(texts.withColumnsRenamed({"id": "a", "body": "ba"}), "a")
     both = with_a.join(texts.withColumnsRenamed({"id": "b", "body": "bb"}), "b")
@@ -190,6 +192,7 @@ def crossing(rooted: DataFrame, texts: DataFrame) -> DataFrame:
         for b in batches:
             for x, y in zip(b.column("ra"), b.column("rb")):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, links_between(*(pa.array(r.values) for r in (x, y))))], names=["a", "b"])
+        given_back()
 
     return pairs.mapInArrow(compare, "a long, b long").distinct()
 
