@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted
+from .common import fresh, given_back, quoted
 
 #: Bytes of a string that counts as repeated.
 LEAST = 50
@@ -65,24 +65,39 @@ def all_words(data: np.ndarray) -> np.ndarray:
 
 
 def renamed(values: np.ndarray) -> np.ndarray:
-    """Dense identifiers in the order of the values."""
-    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+    """Dense identifiers in the order of the values. There are fewer than 2^32 - 1."""
+    order = np.argsort(values).astype(np.uint32)
+    new = np.zeros(len(order), np.uint32)
+    ordered = values[order]
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    out = np.empty(len(order), np.uint32)
+    out[order] = np.cumsum(new, dtype=np.uint32, out=new)
+    return out
 
 
 def ranks(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """For each start the identifier of its bucket of equal `depth` bytes, in byte order. Every start has `depth` bytes."""
-    edge = np.zeros(len(data) + 1, np.int64)
+    edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + depth - 7, -1)
-    offsets, q = np.flatnonzero(np.cumsum(edge)), 8  # all places that later steps ask for
+    asked, q = np.cumsum(edge, dtype=np.int32, out=edge) > 0, 8  # all places that later steps ask for
+    offsets = np.flatnonzero(asked)
+    row = np.cumsum(asked, dtype=np.int32) - 1  # of each such place
+    del edge
     ids = renamed(words_at(data, offsets))
     while q < depth:
         step = min(q, depth - q)
-        later = np.minimum(np.searchsorted(offsets, offsets + step), len(offsets) - 1)
-        whole = offsets[later] == offsets + step
-        ids = renamed((ids << np.uint64(32)) | np.where(whole, ids[later] + np.uint64(1), np.uint64(0)))
+        later = np.minimum(offsets + step, len(asked) - 1)
+        then = np.where(asked[later], ids[row[later]] + np.uint32(1), np.uint32(0))
+        del later
+        both = ids.astype(np.uint64)
+        both <<= np.uint64(32)
+        both |= then
+        del then, ids
+        ids = renamed(both)
         q += step
-    return renamed(ids[np.searchsorted(offsets, starts)]).astype(np.int64)
+    return renamed(ids[row[starts]]).astype(np.int64)
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -250,7 +265,7 @@ def covered(b: Block, status: np.ndarray, starts: np.ndarray, keys: np.ndarray,
     part = status[b.entry]
     own = b.keys[b.owner] == b.key[b.entry]
     whole = (part == WHOLE) | ~own
-    mark = np.zeros(len(b.data) + 1, np.int64)
+    mark = np.zeros(len(b.data) + 1, np.int32)
     np.add.at(mark, b.start[whole], 1)
     np.add.at(mark, b.start[whole] + b.size[whole] + least - 1, -1)
     some = np.flatnonzero((part > WHOLE) & own)
@@ -260,7 +275,7 @@ def covered(b: Block, status: np.ndarray, starts: np.ndarray, keys: np.ndarray,
     at = (np.repeat(b.start[some], size) + place)[yes]
     np.add.at(mark, at, 1)
     np.add.at(mark, at + least, -1)
-    return np.cumsum(mark)[: b.bounds[-1]] > 0
+    return np.cumsum(mark, out=mark)[: b.bounds[-1]] > 0
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -383,6 +398,15 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         by = sorted(range(len(texts)), key=lambda i: (keys[i], texts[i]))  # the same in every step, in whatever order rows come
         return docs.take(pa.array(by, pa.int64())), laid_out([texts[i] for i in by], keys[by], least)
 
+    def frugal(f):
+        def run(*args):
+            try:
+                return f(*args)
+            finally:
+                given_back()
+
+        return run
+
     def tell_runs(key_, docs):
         _, b = read(docs)
         return sent(key_[0].as_py(), dealt(b.bucket, parts), parts, b.key, [five(b.bucket), five(b.content), b.left, b.right])
@@ -408,6 +432,6 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         return pa.Table.from_arrays(out, names=[*names, *added])
 
     grouped = dealt_docs.groupBy(block)
-    first = grouped.applyInArrow(tell_runs, SENT).groupBy("part").applyInArrow(runs_met, ANSWER)
-    second = grouped.cogroup(first.groupBy("block")).applyInArrow(tell_windows, SENT).groupBy("part").applyInArrow(windows_met, ANSWER)
-    return grouped.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(take_away, schema)
+    first = grouped.applyInArrow(lambda k, d: frugal(tell_runs)(k, d), SENT).groupBy("part").applyInArrow(runs_met, ANSWER)
+    second = grouped.cogroup(first.groupBy("block")).applyInArrow(lambda k, d, a: frugal(tell_windows)(k, d, a), SENT).groupBy("part").applyInArrow(windows_met, ANSWER)
+    return grouped.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(lambda k, d, a: frugal(take_away)(k, d, a), schema)
