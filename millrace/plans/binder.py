@@ -6,7 +6,7 @@ import datetime
 import decimal
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,15 @@ def type_of(spelled: tuple) -> T.DataType:
     return NAMES[name]
 
 
+def spelled(kind: T.DataType) -> str:
+    """A type as the dialect spells it."""
+    if isinstance(kind, T.ArrayType):
+        return f"LIST<{spelled(kind.elementType)}>"
+    if isinstance(kind, T.DecimalType):
+        return f"DECIMAL({kind.precision},{kind.scale})"
+    return {T.LongType: "BIGINT", T.DoubleType: "DOUBLE", T.StringType: "TEXT", T.BooleanType: "BOOLEAN", T.BinaryType: "BYTES", T.TimestampType: "TIMESTAMP", T.DateType: "DATE"}[type(kind)]
+
+
 @dataclass
 class Typed:
     col: Column
@@ -327,6 +336,43 @@ class Binder:
             return Typed(F.coalesce(own, F.col(q(hits[0][2]))) if hits else own, STRING)
         raise DialectError(f"unknown function: {name}")
 
+    def on_over(self, e, scope, found):
+        _, (_, name, args, distinct, where), per, order, frame = e
+        if distinct or where is not None:
+            raise DialectError("DISTINCT or FILTER with OVER")
+        w = Window.partitionBy(*[self.bind(p, scope, found).col for p in per])
+        if order:
+            w = w.orderBy(*[relational.order(self.bind(k, scope, found).col, d, n) for k, d, n in order])
+        if frame:
+            w = getattr(w, f"{frame[0]}Between")(frame[1], frame[2])
+        numbering = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
+        if name in numbering and not args:
+            if not order:
+                raise DialectError(f"{name} needs ORDER BY")
+            return Typed(numbering[name]().over(w).cast(INT), INT)
+        if name == "count" and args == [("star",)]:
+            return Typed(F.count(F.lit(1)).over(w), INT)
+        if not args:
+            raise DialectError(f"{name} without an argument")
+        x = self.bind(args[0], scope, found)
+        kind = x.kind or STRING
+        col = x.col.cast(kind)
+        if name in ("lag", "lead"):
+            n, default = (self.bind(a, scope, found).literal for a in (*args[1:3], *[("null",)] * (3 - len(args[:3]))))
+            if not order:
+                raise DialectError(f"{name} needs ORDER BY")
+            return Typed(getattr(F, name)(col, 1 if n is None else n, default).over(w), kind)
+        if name in ("first_value", "last_value", "min", "max"):
+            return Typed(getattr(F, name.removesuffix("_value"))(col).over(w), kind)
+        if name == "count":
+            return Typed(F.count(col).over(w), INT)
+        if name in ("sum", "avg"):
+            if not isinstance(kind, NUMBERS):
+                raise DialectError(f"{name} needs numbers")
+            out = FLOAT if name == "avg" else T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
+            return Typed(getattr(F, name)(col.cast(out)).over(w).cast(out), out)
+        raise DialectError(f"unknown window function: {name}")
+
     # sources
 
     def source(self, t: tuple | None, ctes: dict) -> Scope:
@@ -405,7 +451,9 @@ class Binder:
         return out
 
     def aggregates(self, e, out: dict) -> None:
-        if isinstance(e, tuple) and e and e[0] == "call" and e[1] in AGGREGATES:
+        if isinstance(e, tuple) and e and e[0] == "over":
+            self.aggregates([e[1][2], *e[2:4]], out)
+        elif isinstance(e, tuple) and e and e[0] == "call" and e[1] in AGGREGATES:
             out[repr(e)] = e
         elif isinstance(e, (tuple, list)):
             for x in e:
@@ -604,6 +652,92 @@ class Engine:
         plan = b.query(s[1])._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return Result(self.spark.createDataFrame([(line,) for line in plan.split("\n")], "plan string"))
 
+    def do_begin(self, s, b):
+        self.store.begin()
+        return Result()
+
+    def do_commit(self, s, b):
+        self.store.commit()
+        return Result()
+
+    def do_rollback(self, s, b):
+        self.store.rollback()
+        return Result()
+
+    def do_backup(self, s, b):
+        self.store.backup(s[1])
+        return Result()
+
+    def do_show(self, s, b):
+        """The statement that would create the table."""
+        name = s[1].removeprefix("main.")
+        spec = self.store.table(name)["spec"]
+        quote = lambda c: '"' + c.replace('"', '""') + '"'
+        columns = ", ".join(f"{quote(f.name)} {spelled(f.dataType)}" for f in self.store.schema(name))
+        listed = lambda cs: "(" + ", ".join(map(quote, cs)) + ")"
+        parts = [f" ENGINE = {spec['engine']}"]
+        parts += [f" KEY {listed(spec['key'])}"] if spec.get("key") else []
+        parts += [f" VERSION {listed([spec['version']])}"] if spec.get("version") else []
+        parts += [f" ORDER BY {listed(spec['order_by'])}"] if spec.get("order_by") else []
+        if by := spec.get("partition_by"):
+            parts.append(f" PARTITION BY {quote(by[0])}" + (f"('{by[1]}')" if len(by) > 1 else ""))
+        parts += [f" TTL {quote(spec['ttl'][0])} + INTERVAL '{spec['ttl'][1]}'"] if spec.get("ttl") else []
+        return Result(self.spark.createDataFrame([(f"CREATE TABLE {quote(name)} ({columns}){''.join(parts)}",)], "statement string"))
+
+    def do_create_as(self, s, b):
+        name = s[1].removeprefix("main.")
+        df = b.query(s[2])
+        if name in self.store.snapshot()["tables"] and s[3]:
+            return Result()
+        self.store.create(name, T.StructType([T.StructField(f.name, narrow(f.dataType)) for f in df.schema]), s[3])
+        return Result(count=self.store.insert(name, df))
+
+    def do_create_like(self, s, b):
+        of = s[2].removeprefix("main.")
+        self.store.create(s[1].removeprefix("main."), self.store.schema(of), s[3], **self.store.table(of)["spec"])
+        return Result()
+
+    def do_order_by(self, s, b):
+        self.store.order_by(s[1].removeprefix("main."), s[2])
+        return Result()
+
+    def do_update(self, s, b):
+        _, name, sets, where = s
+        name = name.removeprefix("main.")
+        read, schema = self.store.table(name), self.store.schema(name)
+        if read["spec"]["engine"] != "append":
+            raise DialectError(f"UPDATE of an engine {read['spec']['engine']}; insert the new row")
+        if len({c for c, _ in sets}) != len(sets):
+            raise DialectError("a column is named twice")
+        scope = b.source(("table", name, name.split(".")[-1], None), {})
+        hit = F.lit(True) if where is None else F.coalesce(b.truth(where, scope), F.lit(False))
+        new: dict[str, Column] = {}
+        for c, e in sets:
+            if c not in schema.names:
+                raise DialectError(f"no such column: {c}")
+            v = b.bind(e, scope)
+            new |= zip((c, c + SUFFIX), self.fit(v.col, v.kind, c, schema))
+        ids = {f["name"]: f"f{f['id']}" for f in read["fields"]}
+        rows = scope.df.select(*[(F.when(hit, new[n]).otherwise(F.col(i)) if n in new else F.col(i)).cast(schema[n].dataType).alias(ids[n]) for _, n, i, _ in scope.columns])
+        count = scope.df.filter(hit).count()
+        if count:
+            self.store.replace(name, rows, read)
+        return Result(count=count)
+
+    def do_copy_to(self, s, b):
+        """Writes a folder of part files."""
+        _, query, path, options = s
+        form = options.get("format") or ("ndjson" if path.endswith((".ndjson", ".jsonl", ".json")) else "parquet" if path.endswith(".parquet") else "csv")
+        df = b.query(query)
+        if form == "csv":
+            flat = df.select(*[exprs.text(F.col(q(f.name)), narrow(f.dataType)).alias(f.name) for f in df.schema])
+            flat.write.option("header", options.get("header", "true")).option("sep", options.get("delimiter", ",")).option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(path)
+        elif form in ("ndjson", "parquet"):
+            getattr(df.write, "json" if form == "ndjson" else form)(path)
+        else:
+            raise DialectError(f"unknown format: {form}")
+        return Result()
+
     def do_schema(self, s, b):
         return Result()
 

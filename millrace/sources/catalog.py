@@ -29,6 +29,8 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.pending: dict | None = None  # the open transaction's snapshot
+        self.base = 0
         os.makedirs(f"{path}/log", exist_ok=True)
         if not os.listdir(f"{path}/log"):
             self._publish({"version": 0, "next": 1, "tables": {}, "dropped": {}, "tokens": []})
@@ -39,6 +41,8 @@ class Store:
         return sorted(int(f[:-5]) for f in os.listdir(f"{self.path}/log") if f.endswith(".json"))
 
     def snapshot(self, version: int | None = None) -> dict:
+        if version is None and self.pending is not None:
+            return self.pending
         with open(f"{self.path}/log/{self.versions()[-1] if version is None else version:012d}.json") as f:
             return json.load(f)
 
@@ -58,9 +62,35 @@ class Store:
         state = copy.deepcopy(self.snapshot())
         state["version"] += 1
         change(state)
-        self._publish(state)
+        if self.pending is not None:
+            self.pending = state
+        else:
+            self._publish(state)
         return state["version"]
 
+    def begin(self) -> None:
+        """Commits until commit() are one snapshot, seen by this store only before."""
+        if self.pending is not None:
+            raise DialectError("a transaction is open")
+        self.pending = self.snapshot()
+        self.base = self.pending["version"]
+
+    def commit(self) -> None:
+        state, self.pending = self._open(), None
+        if self.versions()[-1] != self.base:
+            raise DialectError("another writer committed meanwhile")
+        if state["version"] != self.base:
+            self._publish(state)
+
+    def rollback(self) -> None:
+        self._open()
+        self.pending = None
+
+    def _open(self) -> dict:
+        if self.pending is None:
+            raise DialectError("no transaction is open")
+        return self.pending
+
     @staticmethod
     def _table(state: dict, name: str) -> dict:
         if name not in state["tables"]:
@@ -249,19 +279,36 @@ class Store:
         t = self._table(self.snapshot(), name)
         if len(t["segments"]) < least and not t["tombstones"]:
             return False
-        path = f"t{t['id']}/{uuid.uuid4().hex}"
-        self.read(name, raw=True).repartition(files).write.parquet(f"{self.path}/data/{path}")
+        self.replace(name, self.read(name, raw=True).repartition(files), t)
+        return True
+
+    def table(self, name: str) -> dict:
+        """The table's record in the newest snapshot."""
+        return self._table(self.snapshot(), name)
+
+    def replace(self, name: str, rows: DataFrame, read: dict, **spec) -> None:
+        """Puts `rows` (field ids as names) in place of what the record `read` holds; spec: options that change with it."""
+        path = f"t{read['id']}/{uuid.uuid4().hex}"
+        if by := (read["spec"] | spec).get("order_by"):
+            rows = rows.sortWithinPartitions(*[f"f{self._field(read, c)['id']}" for c in by])
+        rows.write.parquet(f"{self.path}/data/{path}")
         count = self.spark.read.parquet(f"{self.path}/data/{path}").count()
-        old = [s["path"] for s in t["segments"]]
 
         def change(s):
             now = self._table(s, name)
-            if [x["path"] for x in now["segments"]] != old or now["tombstones"] != t["tombstones"]:
-                raise DialectError("the table changed while it was compacted")
+            if any(now[k] != read[k] for k in ("id", "fields", "segments", "tombstones")):
+                raise DialectError("the table changed while it was written anew")
             now.update(segments=[{"path": path, "rows": count, "seq": s["version"]}], tombstones=[])
+            now["spec"].update(spec)
 
         self._commit(change)
-        return True
+
+    def order_by(self, name: str, columns: list[str]) -> None:
+        """Another order within the table's files; all its segments are written anew."""
+        t = self.table(name)
+        for c in columns:
+            self._field(t, c)
+        self.replace(name, self.read(name, raw=True), t, order_by=columns)
 
     def expire(self, keep: int = 10, grace_seconds: float = 3600) -> list[str]:
         """Forgets all but the newest snapshots and removes segments that none names and that are older than the grace."""
