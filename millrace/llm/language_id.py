@@ -3,11 +3,15 @@
 Letters, lower-cased, with runs of everything else as one space, give character n-grams of one to three, hashed into a
 fixed number of columns. Vectors are log counts times inverse document frequency, of length one. Each language has
 several centroids (spherical k-means); a text gets the language of the centroid of the largest cosine and is rejected
-beyond a distance learned from the training texts.
+beyond a distance that depends on how many different n-grams it has, as short and repetitive texts are never near. The
+distance is learned from held-out texts: each half of a language's training texts, whole and by their starts, is scored by
+centroids of the other half, and a low quantile of these cosines is the least that is accepted.
 
 Fit: on a bounded sample, `per_language` texts of the smallest hashes in each language. Prediction reads whole texts.
 Defined results: null, empty and letterless texts are `und` with score 0 and are rejected; with nothing to learn from all
-are `und`. Equal texts get equal results. Extra columns pass through (of the same name as a result: replaced).
+are `und`; a language learned from one text rejects nothing that has a letter, as there is nothing held out. Texts of a few
+letters are near every language and mostly accepted. Equal texts get equal results. Extra columns pass through (of the same
+name as a result: replaced).
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ PER_LANGUAGE = 300
 CLUSTERS = 3
 #: Code points handled at once.
 STEP = 1 << 20
-#: Share of a language's training cosines (of the least) that a text must reach.
-SLACK = 0.25
+#: Quantile of held-out cosines that a text must reach, and how far below it, as a share of its distance from the median.
+LEAST, SLACK = 0.005, 0.5
+#: Characters of the starts of training texts that are scored besides the whole.
+STARTS = tuple(1 << i for i in range(10))
+#: Classes of texts by the number of different n-grams: from 2^i to below 2^(i + 1).
+SIZES = WIDTH.bit_length()
 
 
 @cache
@@ -59,9 +67,24 @@ def counts(text: str | None) -> np.ndarray:
     return total
 
 
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(found: np.ndarray) -> Sparse:
+    """(columns, counts) of what occurs."""
+    at = np.flatnonzero(found)
+    return at, found[at]
+
+
+def unit(found: Sparse, idf: np.ndarray) -> np.ndarray:
+    """The vector of length one, at the columns of what occurs."""
+    v = np.log1p(found[1]).astype(np.float32) * idf[found[0]]
+    return v / max(float(np.sqrt(v @ v)), 1e-12)
+
+
 @dataclass(frozen=True)
 class Model:
-    """languages of the columns of centroids (WIDTH x columns); floor: the least cosine of each column that is accepted."""
+    """languages of the columns of centroids (WIDTH x columns); floor: the least cosine that is accepted (columns x SIZES)."""
 
     languages: list[str]
     idf: np.ndarray
@@ -70,15 +93,14 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language or und, cosine, rejected)."""
-        found = counts(text)
-        at = np.flatnonzero(found)
-        if not len(at) or not self.languages:
+        found = sparse(counts(text))
+        if not len(found[0]) or not self.languages:
             return "und", 0.0, True
-        v = np.log1p(found[at]).astype(np.float32) * self.idf[at]
-        cosines = (v / max(float(np.sqrt(v @ v)), 1e-12)) @ self.centroids[at]
+        cosines = unit(found, self.idf) @ self.centroids[found[0]]
         best = int(np.argmax(cosines))
         score = min(max(float(cosines[best]), 0.0), 1.0)
-        return self.languages[best], score, score < self.floor[best]
+        least = np.interp(np.log2(len(found[0])), np.arange(SIZES) + 0.5, self.floor[best])
+        return self.languages[best], score, bool(score < least)
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -95,24 +117,45 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
 
 
-def fitted(samples: list[tuple[str, np.ndarray]], clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
-    """samples: (language, counts)."""
-    samples = [s for s in samples if s[1].any()]
+def floors(sizes: np.ndarray, cosines: np.ndarray, least: float = LEAST, slack: float = SLACK) -> np.ndarray:
+    """The least cosine accepted in each of SIZES classes, from held-out ones. A class without any has the floor of the next
+    smaller one (0 if none); no class has a higher floor than a larger class that has some."""
+    out = np.full(SIZES, np.nan)
+    for i in np.unique(sizes):
+        low, middle = np.quantile(cosines[sizes == i], [least, 0.5])
+        out[i] = max(low - slack * (middle - low), 0.0)
+    known = np.flatnonzero(~np.isnan(out))
+    out[known] = np.minimum.accumulate(out[known][::-1])[::-1]
+    last = 0.0
+    for i in range(SIZES):
+        last = out[i] = last if np.isnan(out[i]) else out[i]
+    return out
+
+
+def fitted(samples: list[tuple[str, list[Sparse]]], clusters: int = CLUSTERS, least: float = LEAST, slack: float = SLACK) -> Model:
+    """samples: (language, counts of the whole text and of its starts)."""
     if not samples:
-        return Model([], np.ones(WIDTH, np.float32), np.zeros((WIDTH, 0), np.float32), np.zeros(0))
+        return Model([], np.ones(WIDTH, np.float32), np.zeros((WIDTH, 0), np.float32), np.zeros((0, SIZES)))
     seen = np.zeros(WIDTH)
-    for _, c in samples:
-        seen += c > 0
+    for _, (whole, *_) in samples:
+        seen[whole[0]] += 1
     idf = (np.log((1 + len(samples)) / (1 + seen)) + 1).astype(np.float32)
     languages, columns, floor = [], [], []
     for language in sorted({s[0] for s in samples}):
-        x = np.array([np.log1p(c).astype(np.float32) * idf for name, c in samples if name == language])
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        own = [parts for name, parts in samples if name == language]
+        x = np.zeros((len(own), WIDTH), np.float32)
+        for row, (whole, *_) in zip(x, own):
+            row[whole[0]] = unit(whole, idf)
         centers = clustered(x, clusters).astype(np.float32)
-        least = float((x @ centers.T).max(1).min()) * slack
+        sizes, cosines = [], []
+        for half in (0, 1) if len(own) > 1 else ():
+            other = clustered(x[1 - half :: 2], clusters).astype(np.float32).T.copy()
+            for part in (p for parts in own[half::2] for p in parts):
+                sizes.append(len(part[0]).bit_length() - 1)
+                cosines.append(float((unit(part, idf) @ other[part[0]]).max()))
         languages += [language] * len(centers)
         columns += list(centers)
-        floor += [least] * len(centers)
+        floor += [floors(np.array(sizes, int), np.array(cosines), least, slack)] * len(centers)
     return Model(languages, idf, np.array(columns).T.copy(), np.array(floor))
 
 
@@ -129,16 +172,21 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text
 
     def vectors(batches):
         for b in batches:
-            found = [(i, c) for i, t in enumerate(b.column("text").to_pylist()) if (c := counts(t)).any()]
-            at = [np.flatnonzero(c) for _, c in found]
-            yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array([i for i, _ in found], pa.int32())), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<u4").tobytes() for (_, c), a in zip(found, at)], pa.binary())], names=["lang", "at", "n"])
-
-    once = rows.filter(near).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+            rows = []
+            for lang, h, t in zip(*(b.column(c).to_pylist() for c in ("lang", "h", "text"))):
+                whole = counts(t)
+                if whole.any():
+                    parts = [whole, *(c for n in STARTS if n < len(t) and (c := counts(t[:n])).any())]
+                    rows += [(lang, h, i, at.astype("<u2").tobytes(), n.astype("<u4").tobytes()) for i, (at, n) in enumerate(map(sparse, parts))]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["lang", "h", "part", "at", "n"])
+
+    once = rows.filter(near).groupBy("lang", "h").agg(F.first("text").alias("text"))
     samples = []
-    for r in sorted(once.mapInArrow(vectors, "lang string, at binary, n binary").collect()):
-        c = np.zeros(WIDTH, np.int64)
-        c[np.frombuffer(r.at, "<u2")] = np.frombuffer(r.n, "<u4")
-        samples.append((r.lang, c))
+    for r in sorted(once.mapInArrow(vectors, "lang string, h long, part int, at binary, n binary").collect()):
+        if r.part == 0:
+            samples.append((r.lang, []))
+        samples[-1][1].append((np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.n, "<u4")))
     return fitted(samples, **more)
 
 

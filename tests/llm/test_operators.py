@@ -93,6 +93,22 @@ def test_languages(spark):
     assert language_id.identified(more, language_id.fit(df.limit(0))).first().lang_pred == "und"
 
 
+def test_unlearned_languages_and_letter_junk_are_rejected(spark):
+    r = random.Random(5)
+    speak = {"aa": "the ing tion er on at es re ha de an ou st of is".split(), "bb": "chkeit und zu ver ge ie ein ä ß der stau beh heit pf ung".split()}
+    say = lambda k, n: " ".join("".join(r.choices(speak[k], k=r.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(k, r.choice([5, 20, 80, 300])), k) for i, k in enumerate(["aa", "bb"] * 150)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = [(k, model.predict(say(k, n))) for k in speak for n in [4, 15, 60, 200] * 25]
+    assert sum(lang == k and not rejected for k, (lang, _, rejected) in new) >= 195
+    assert not model.predict(" ".join([say("aa", 4)] * 200))[2]
+    junk = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=300)), "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=300)),
+    ]
+    assert all(model.predict(t)[2] for t in [*junk, *(t[:100] for t in junk), *(t * 20 for t in junk)])
+
+
 def test_counts_in_steps(monkeypatch):
     text = "Some wörds, and 12 more.  " * 50
     whole = language_id.counts(text)
