@@ -7,7 +7,7 @@ beyond a distance that depends on how many different n-grams it has, as short an
 distance is learned from held-out texts: each half of a language's training texts, whole and by their starts, is scored by
 centroids of the other half, and a low quantile of these cosines is the least that is accepted.
 
-Fit: on a bounded sample, `per_language` texts of the smallest hashes in each language. Prediction reads whole texts.
+Fit: on a bounded sample, the `per_language` different texts with a letter of the smallest hashes in each language. Prediction reads whole texts.
 Defined results: null, empty and letterless texts are `und` with score 0 and are rejected; with nothing to learn from all
 are `und`; a language learned from one text rejects nothing that has a letter, as there is nothing held out. Texts of a few
 letters are near every language and mostly accepted. Equal texts get equal results. Extra columns pass through (of the same
@@ -33,6 +33,8 @@ WIDTH = 1 << 14
 PER_LANGUAGE = 300
 #: Centroids of each language.
 CLUSTERS = 3
+#: What letters() holds, as a pattern; characters that Java doesn't know yet may be letters.
+LETTER = r"(?![\x{2FFFF}-\x{10FFFF}])[\p{L}\p{Cn}]"
 #: Code points handled at once.
 STEP = 1 << 20
 #: Quantile of held-out cosines that a text must reach, and how far below it, as a share of its distance from the median.
@@ -161,8 +163,8 @@ def fitted(samples: list[tuple[str, list[Sparse]]], clusters: int = CLUSTERS, le
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", **more) -> Model:
     """A model from a bounded sample of the rows that have a language and a text with a letter."""
-    rows = labelled.select(F.col(quoted(lang)).alias("lang"), F.col(quoted(text)).alias("text")).filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    keys = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
+    rows = labelled.select(F.col(quoted(lang)).alias("lang"), F.col(quoted(text)).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).withColumn("h", F.xxhash64("text"))
+    keys = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
     limits = keys.groupBy("lang").agg(F.max("h").alias("most")).collect()
     if not limits:
         return fitted([])

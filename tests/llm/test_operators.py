@@ -109,6 +109,24 @@ def test_unlearned_languages_and_letter_junk_are_rejected(spark):
     assert all(model.predict(t)[2] for t in [*junk, *(t[:100] for t in junk), *(t * 20 for t in junk)])
 
 
+def test_copies_and_letterless_texts_take_no_place_in_the_sample(spark):
+    r = random.Random(6)
+    rows = [(" ".join(r.choices(["bado", "kuno", "tir", "lamo", "sel", "vim"], k=12)), "aa") for _ in range(60)]
+    once = spark.createDataFrame(rows, "text string, lang string")
+    first = once.orderBy(F.xxhash64("text")).first().text
+    more = spark.createDataFrame([(first, "aa")] * 100 + [(f"{i} 3 ::", "aa") for i in range(100)] + [("", "aa")] * 50 + [(None, "aa")], once.schema)
+    a, b = (language_id.fit(x, per_language=20) for x in (once, once.union(more)))
+    assert np.array_equal(a.centroids, b.centroids) and np.array_equal(a.floor, b.floor) and np.array_equal(a.idf, b.idf)
+    assert sum(b.predict(t)[2] for t, _ in rows) <= 3
+
+
+def test_letters_as_the_pattern_has_them(spark):
+    df = spark.createDataFrame([(i, chr(i)) for i in range(0x32000) if not 0xD800 <= i < 0xE000], "i int, c string")
+    found = {x.i for x in df.filter(F.col("c").rlike(language_id.LETTER)).collect()}
+    own = {int(i) for i in np.flatnonzero(language_id.letters()[:-1])}
+    assert own <= found and max(found) < 0x30000 and not any(chr(i).isascii() for i in found - own)
+
+
 def test_counts_in_steps(monkeypatch):
     text = "Some wörds, and 12 more.  " * 50
     whole = language_id.counts(text)
