@@ -1,8 +1,9 @@
 """Threshold-scaled document fingerprints. DataFrame functions only.
 
 A fingerprint keeps every hash of a five-word shingle below a fixed share of the hash range, so the fingerprint of a union
-is the union of fingerprints, and a small document's containment in a large one can be estimated. A text none of whose
-hashes is that small keeps its smallest one.
+is the union of fingerprints, and a small document's containment in a large one can be estimated. The share is the whole
+range unless another is given: then containment is exact, for texts of a few words too. Of a smaller share a short text may
+keep no hash; it then has an empty fingerprint, which says nothing of it.
 
 Defined results: null texts are empty; a text without words has an empty fingerprint (likeness 1 to another such, else 0);
 texts of one to four words are one shingle. Words are separated by ASCII white space. Extra columns pass through.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import fresh, quoted
 
 #: Words of a shingle, and the share of hashes that are kept.
-SHINGLE, SHARE = 5, 1 / 16
+SHINGLE, SHARE = 5, 1.0
 
 
 def words_of(text: Column) -> Column:
@@ -29,9 +30,8 @@ def hashes_of(words: Column, shingle: int = SHINGLE) -> Column:
 
 
 def small_of(hashes: Column, share: float = SHARE) -> Column:
-    limit = min(int(-(2**63) + share * 2**64), 2**63 - 1)
-    small = F.filter(hashes, lambda h: h < limit)
-    return F.array_sort(F.array_distinct(F.when((F.size(small) > 0) | (F.size(hashes) == 0), small).otherwise(F.array(F.array_min(hashes)))))
+    small = hashes if share >= 1 else F.filter(hashes, lambda h: h < int(-(2**63) + share * 2**64))
+    return F.array_sort(F.array_distinct(small))
 
 
 def fingerprinted(df: DataFrame, name: str, text: str = "text", shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
@@ -47,7 +47,7 @@ def merged(fingerprints: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The estimated share of a's shingles that b has."""
+    """The share of a's shingles that b has, estimated if fingerprints are of a share below 1."""
     return F.when(F.size(a) == 0, F.when(F.size(b) == 0, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
