@@ -1,9 +1,10 @@
 """Quality rules: counts of a text, and lines that a host repeats over documents.
 
-Lines, lower-cased with digits and runs of white space made equal, are hashed; for each host the distinct texts that hold a
-line are counted. Lines above the host's limit are removed, and a document that keeps too few of its words is rejected.
+Lines, lower-cased with digits and runs of white space made equal, are hashed; for each host the documents that hold a line
+are counted: each row, or each distinct text only. Lines above the host's limit are removed, and a document that keeps too few of its words is rejected.
 
-Defined results: null texts have no words; equal texts of a host count once, so copies alone never reach a limit; a null host
+Defined results: null texts have no words and aren't counted; equal texts of a host count once, so that copies alone
+never reach a limit, unless `copies` is set (op9_quality sets it): then a line counts once for each row that has it; a null host
 is a host of its own; lines without a word are not counted. Repeated rows get equal verdicts. Extra columns pass through.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from .common import fresh, quoted
 
-#: A line is removed if over LEAST_LINES texts of its host have it and over SHARE of them.
+#: A line is removed if over LEAST_LINES documents of its host have it and over SHARE of them.
 LEAST_LINES, SHARE = 20, 0.02
 #: A document is rejected if it keeps a smaller share of its words.
 LEAST_KEPT = 0.3
@@ -53,15 +54,21 @@ def lines_of(text):
     return F.transform(lines, lambda s: F.struct(F.xxhash64(s).alias("line"), (F.length(s) - F.length(F.translate(s, " ", "")) + 1).alias("words")))
 
 
-def judged(df: DataFrame, host: str = "source", text: str = "text", least_lines: int = LEAST_LINES, share: float = SHARE, least_kept: float = LEAST_KEPT) -> DataFrame:
-    """`df` with STATS, base_failed, kept_share (of the words, after the removal of lines) and kept."""
+def judged(df: DataFrame, host: str = "source", text: str = "text", least_lines: int = LEAST_LINES, share: float = SHARE, least_kept: float = LEAST_KEPT, copies: bool = False) -> DataFrame:
+    """`df` with STATS, base_failed, kept_share (of the words, after the removal of lines) and kept.
+    copies: count each row that holds a line, not each distinct text."""
     added = (*STATS, "base_failed", "kept_share", "kept")
     kept = [c for c in df.columns if c not in added]
     h, s, whole = fresh(df, "text_hash", "host_hash", "whole_text")
     keyed = df.withColumns({h: F.xxhash64(quoted(text)), s: F.xxhash64(quoted(host), F.col(quoted(host)).isNull())})
     lines = keyed.filter(F.col(quoted(text)).isNotNull()).select(F.col(s).alias("s"), F.col(h).alias("h"), F.explode(lines_of(F.col(quoted(text)))).alias("x")).select("s", "h", "x.line", "x.words")
-    once = lines.groupBy("s", "h", "line").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"))
-    hosts = keyed.filter(F.col(quoted(text)).isNotNull()).select(F.col(s).alias("s"), F.col(h).alias("h")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("texts"))
+    there = keyed.filter(F.col(quoted(text)).isNotNull()).select(F.col(s).alias("s"), F.col(h).alias("h"))
+    if copies:
+        held = F.array_distinct(F.transform(lines_of(F.col(quoted(text))), lambda x: x["line"]))
+        once = keyed.filter(F.col(quoted(text)).isNotNull()).select(F.col(s).alias("s"), F.explode(held).alias("line"))
+    else:
+        there, once = there.distinct(), lines.select("s", "h", "line").distinct()
+    hosts = there.groupBy("s").agg(F.count(F.lit(1)).alias("texts"))
     often = once.groupBy("s", "line").agg(F.count(F.lit(1)).alias("texts_with")).filter(F.col("texts_with") > least_lines)
     often = often.join(hosts, "s").filter(F.col("texts_with") > share * F.col("texts")).select("s", "line", F.lit(True).alias("often"))
     lost = lines.join(often, ["s", "line"]).groupBy("s", "h").agg(F.sum("words").alias("lost"), F.count(F.lit(1)).alias("copies"))

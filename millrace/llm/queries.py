@@ -89,7 +89,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), copies=True)
     return out.select("doc_id", *quality.STATS, "base_failed", "kept", "kept_share")
 
 
