@@ -80,13 +80,17 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def labelled_tokens(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(token, is_secret) from texts of the smallest hashes: values that fixed forms name, and other tokens of eight characters or more."""
+    """(token, is_secret) from different texts of the smallest hashes: values that fixed forms name, and other tokens of eight characters or more."""
     texts = df.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     some = F.lit(False)
     for hint in HINT.values():
         some = some | F.col("t").rlike(hint)
-    with_ = texts.filter(some).select("h", "t").orderBy("h", "t").limit(sample)
-    without = texts.select("h", "t").orderBy("h", "t").limit(sample)
+
+    def different(rows: DataFrame) -> DataFrame:  # the hashes alone are ranked, then copies of the texts they stand for go
+        most = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        return rows.filter(F.col("h") <= F.lit(most).cast("long")).select("h", "t").distinct()
+
+    with_, without = different(texts.filter(some)), different(texts)
     values = [F.regexp_extract_all("t", F.lit(p), F.lit(group)) for _, p, _, group, _ in FORMS]
     secret = with_.select(F.explode(F.concat(*values)).alias("token")).filter(F.length("token") >= 16).withColumn("is_secret", F.lit(True))
     rest = F.col("t")
