@@ -32,15 +32,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def others(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """The columns of `df` whose names aren't among `names`, compared without case."""
+    added = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in added]
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. A folder of this machine only where the session names none."""
+    """The session's checkpoint folder: what spark.checkpoint.dir names. Where nothing does, a folder of this machine in local
+    mode, which has no other; on a cluster, executors wouldn't share it, so an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -1,18 +1,23 @@
 """Removal of repeated passages by suffix sorting (bucket-pointer refinement).
 
-Suffixes start in buckets of equal q-grams. A bucket is refined by sorting its suffixes on the identifiers of the buckets
-that their later offsets are in; the refined identifiers serve in the next, longer step (q, 2q, 4q, ... bytes). `ranks`
-refines to a depth, `suffix_array` to the end.
+Suffixes start in buckets of equal q-grams, named by the q-gram itself. Buckets are taken up one after another, a batch at a
+time, and each is refined by sorting its suffixes on the identifiers of the buckets that their later offsets are in, again
+and again until it is done. A refined bucket's identifiers hold from then on, so that later buckets which look at them
+go deeper by what is already known there (`refined`). Neighbours in the resulting order are compared byte by byte.
 
 Over a cluster: each window of `least` bytes is dealt to the initial bucket of its smallest 16-gram (by hash). A run of
 windows in one document with the same bucket travels as two hashes, once for each block of documents. Where runs of one
-bucket differ but agree in the bytes before or behind the gram, the windows that reach there are refined in their block by
-`ranks`, and a hash of each distinct window travels.
-So a bucket gets a row for each block at most from whatever is common, and a window is compared over all documents.
+bucket differ but agree in the bytes before or behind the gram, the windows that reach there are refined in their block,
+and a hash of each distinct window travels. So a bucket gets a row for each block at most from whatever is common, and a
+window is compared over all documents. Texts of different blocks never meet: they are equal if 104 bits of hash are (at
+10^14 windows a wrong match is expected once in 10,000 such jobs).
 
 A byte is removed if a string of `least` bytes that covers it also starts in a document with a smaller key. Strings
 are those of the input. Defined results: null texts are empty; documents shorter than `least` lose nothing; rows of the
-same key don't remove from each other; a null key counts as larger than all others. Extra columns pass through.
+same key, in whatever block they lie, don't remove from each other; a null key counts as larger than all others. A
+document is the unit of work: a very long text is a block of its own. Rows are dealt by their place in the input, so the
+input must give its rows in the same order when it is read again, as tables do. Extra columns pass through (of the same
+name as a result: replaced).
 """
 
 from __future__ import annotations
@@ -26,19 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, given_back, quoted
+from .common import fresh, given_back, others, quoted
 
 #: Bytes of a string that counts as repeated.
 LEAST = 50
 #: Bytes of the grams that name initial buckets over the cluster.
 GRAM = 16
 #: Bytes of text in a block of documents, about; a worker holds one.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Flanks that no other has, and that every other has.
 NONE, ANY = 0, 65535
 #: What a block is told of a run: a smaller key has the whole of it; windows that reach half a string before, or behind,
 #: the gram are to be compared.
 WHOLE, BEFORE, BEHIND = 1, 2, 4
+#: Suffixes whose buckets are refined together.
+BATCH = 1 << 17
 NO_KEY = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -50,11 +57,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as a number, in byte order."""
-    return np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))[at].view(">u8")[:, 0].astype(np.uint64)
-
-
 def all_words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as a number, in the machine's order; the last seven places have none."""
     n = len(data) - 7
@@ -64,68 +66,68 @@ def all_words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def renamed(values: np.ndarray) -> np.ndarray:
-    """Dense identifiers in the order of the values. There are fewer than 2^32 - 1."""
-    order = np.argsort(values).astype(np.uint32)
-    new = np.zeros(len(order), np.uint32)
-    ordered = values[order]
-    new[1:] = ordered[1:] != ordered[:-1]
-    del ordered
-    out = np.empty(len(order), np.uint32)
-    out[order] = np.cumsum(new, dtype=np.uint32, out=new)
-    return out
-
-
-def ranks(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """For each start the identifier of its bucket of equal `depth` bytes, in byte order. Every start has `depth` bytes."""
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + depth - 7, -1)
-    asked, q = np.cumsum(edge, dtype=np.int32, out=edge) > 0, 8  # all places that later steps ask for
-    offsets = np.flatnonzero(asked)
-    row = np.cumsum(asked, dtype=np.int32) - 1  # of each such place
-    del edge
-    ids = renamed(words_at(data, offsets))
-    while q < depth:
-        step = min(q, depth - q)
-        later = np.minimum(offsets + step, len(asked) - 1)
-        then = np.where(asked[later], ids[row[later]] + np.uint32(1), np.uint32(0))
-        del later
-        both = ids.astype(np.uint64)
-        both <<= np.uint64(32)
-        both |= then
-        del then, ids
-        ids = renamed(both)
-        q += step
-    return renamed(ids[row[starts]]).astype(np.int64)
-
-
-def suffix_array(data: bytes) -> np.ndarray:
-    """The starts of the suffixes in byte order. Only buckets of several suffixes are refined further."""
-    n = len(data)
-    padded = np.r_[np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]
-    left = np.minimum(n - np.arange(n), 8).astype(np.uint64)
-    first = words_at(padded, np.arange(n))
-    order = np.lexsort((left, first))
-    key = np.stack([first[order], left[order]])
-    ids = np.zeros(n, np.int64)
-    new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)] if n else np.zeros(0, bool)
-    ids[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    q = 8
-    while n:
-        first, size = np.unique(ids, return_counts=True)
-        open_ = np.flatnonzero(np.isin(ids, first[size > 1]))
-        if not len(open_):
-            break
-        later = np.where(open_ + q < n, ids[np.minimum(open_ + q, n - 1)], -1)
-        by = np.lexsort((later, ids[open_]))
-        at, was, then = open_[by], ids[open_][by], later[by]
-        head = np.r_[True, was[1:] != was[:-1]]
-        begin = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        new = head | np.r_[True, then[1:] != then[:-1]]
-        ids[at] = was + np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) - begin
-        q *= 2
-    return np.argsort(ids)
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the row before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def refined(words: np.ndarray, starts: np.ndarray, depth: int, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): the places in `starts` by their first `depth` bytes (a multiple of nothing, 8 at least), and, in that
+    order, the number of each's group of equal ones. words: all_words() of the bytes, which go on for `depth` after each
+    start; starts ascend, without repeats."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    index = np.full(int(starts[-1]) + depth + 1, -1, np.int32)  # of a place among the starts
+    index[starts] = np.arange(n)
+    gram = words[starts].byteswap()
+    order = np.argsort(gram, kind="stable").astype(np.int32)
+    new = heads(gram[order])
+    del gram
+    pointer = np.empty(n, np.int32)  # of each start: where its bucket begins in the order
+    pointer[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    known = np.full(n, 8, np.int32)  # of each start: bytes that its bucket's members are known to share
+    first = np.flatnonzero(new)
+    size = np.diff(np.r_[first, n])
+    first, size = first[size > 1], size[size > 1]
+    turn = (np.cumsum(size) - size) // batch
+    for bounds in np.split(np.arange(len(first)), np.flatnonzero(np.diff(turn)) + 1):
+        f, z = first[bounds], size[bounds]
+        at = np.repeat(f, z) + np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z)  # places in the order
+        while len(at):
+            own = order[at]
+            bucket = pointer[own]
+            begin = np.flatnonzero(heads(bucket))
+            step = np.minimum(known[own], depth - 8)
+            later = starts[own] + step
+            there = index[later]
+            # a bucket whose later places are all starts is sorted on their pointers, else on the grams' identifiers
+            all_there = np.repeat(np.logical_and.reduceat(there >= 0, begin), np.diff(np.r_[begin, len(at)]))
+            name = words[later].byteswap()
+            name[all_there] = pointer[there[all_there]]
+            gain = np.full(len(at), 8, np.int32)
+            gain[all_there] = known[there[all_there]]
+            by = np.lexsort((name, bucket))
+            own, bucket, name, reached = own[by], bucket[by], name[by], (step + gain)[by]
+            order[at] = own
+            new = heads(bucket, name)
+            pointer[own] = np.maximum.accumulate(np.where(new, at, 0))
+            known[own] = np.minimum(reached, depth)
+            part = np.flatnonzero(new)
+            wide = np.diff(np.r_[part, len(at)])
+            at = at[np.repeat(wide > 1, wide) & (reached < depth)]
+    # pointers may have told bytes apart that lie beyond the depth: neighbours are compared in their own bytes
+    new = np.ones(n, bool)
+    new[1:] = False
+    place = starts[order]
+    for o in [*range(0, depth - 8, 8), depth - 8]:
+        w = words[place + o]
+        new[1:] |= w[1:] != w[:-1]
+    return order.astype(np.int64), np.cumsum(new) - 1
 
 
 def slid(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -145,7 +147,7 @@ class Block:
     A run: start (place of its first window), size (windows), entry. Entries are the distinct runs: bucket, content, the
     smallest key, a run of it (head), and the flanks."""
 
-    data: np.ndarray
+    words: np.ndarray
     bounds: np.ndarray
     keys: np.ndarray
     start: np.ndarray
@@ -161,21 +163,20 @@ class Block:
     anchor: np.ndarray
 
 
-def string_hash(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    h = np.full(len(at), length, np.uint64)
+def string_hash(words: np.ndarray, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    h = np.full(len(at), length + (seed << 32), np.uint64)
     for o in [*range(0, length - 8, 8), length - 8]:
-        h = mixed(h * _M2 + words_at(data, at + o))
+        h = mixed(h * _M2 + words[at + o])
     return h
 
 
-def smallest_grams(data: np.ndarray, n: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def smallest_grams(words: np.ndarray, n: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By window start the smallest hash of its grams; all places of such grams, and their hashes. In steps that fit a cache."""
     low, places, hashes, step = np.zeros(max(0, n - reach + 1), np.uint64), [], [], 1 << 15
     for at in range(0, len(low), step):
         end = min(at + step, len(low))
         start = max(0, at - reach + 1)  # a gram at `at` may be the smallest of a window that starts so far before
-        words = all_words(data[start : end + reach + GRAM])
-        grams = mixed(words[: end + reach - 1 - start] * _M2 + words[8 : end + reach + 7 - start])
+        grams = mixed(words[start : end + reach - 1] * _M2 + words[start + 8 : end + reach + 7])
         part = slid(grams, reach, np.minimum)
         low[at:end] = part[at - start :]
         most = slid(np.r_[np.zeros(reach - 1, np.uint64), part, np.zeros(reach - 1, np.uint64)], reach, np.maximum)
@@ -188,37 +189,34 @@ def smallest_grams(data: np.ndarray, n: int, reach: int) -> tuple[np.ndarray, np
 
 def laid_out(texts: list[bytes], keys: np.ndarray, least: int = LEAST) -> Block:
     data = np.frombuffer(b"".join(texts) + b"\0" * 64, np.uint8)
+    words = all_words(data)
     bounds = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
     n, reach = int(bounds[-1]), least - GRAM + 1
-    low, places, grams = smallest_grams(data, n, reach)
-    last = np.repeat(bounds[1:] - least, np.diff(bounds))  # by place: the last start of a window in its document
-    place = np.arange(n)
-    valid = (place <= last)[: len(low)]
-    low = low[: len(valid)]
-    doc_start = np.zeros(n + 1, bool)
-    doc_start[bounds[:-1]] = True
-    change = np.r_[True, low[1:] != low[:-1]][: len(low)] | doc_start[: len(low)]
-    heads = np.flatnonzero(change & valid)
-    ends = np.minimum(np.r_[np.flatnonzero(change), n][np.searchsorted(np.flatnonzero(change), heads, "right")], last[heads] + 1) if len(heads) else heads
+    low, places, grams = smallest_grams(words, n, reach)
+    # where the smallest gram changes, or a document begins; from there on to the next such place, or the document's last window
+    turns = np.union1d(np.flatnonzero(np.r_[True, low[1:] != low[:-1]][: len(low)]), bounds[:-1])
+    turns = turns[turns < n]
+    of = np.searchsorted(bounds, turns, "right") - 1
+    ends = np.minimum(np.r_[turns[1:], n], bounds[of + 1] - least + 1)
+    begins, ends, of = (x[ends > turns] for x in (turns, ends, of))
     # runs of more windows than a string has bytes are cut, so the first and last window hold all bytes of a run
-    parts = -(-(ends - heads) // least)
-    start = np.repeat(heads, parts) + least * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    parts = -(-(ends - begins) // least)
+    start = np.repeat(begins, parts) + least * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     size = np.minimum(np.repeat(ends, parts) - start, least)
-    owner = np.searchsorted(bounds, start, "right") - 1
-    bucket = low[start]
-    content = mixed(string_hash(data, start, least) + mixed(string_hash(data, start + size - 1, least) + size.astype(np.uint64)))
+    owner, bucket = np.repeat(of, parts), low[start]
+    content = mixed(string_hash(words, start, least) + mixed(string_hash(words, start + size - 1, least) + size.astype(np.uint64)))
     name = mixed(content) + bucket
     order = np.argsort(name, kind="stable")  # documents lie by key, so the first run of a name has its smallest key
-    new = np.r_[True, name[order][1:] != name[order][:-1]][: len(order)]
+    new = heads(name[order])
     first = np.empty(len(order), np.int64)
     first[order] = order[new][np.cumsum(new) - 1]
     head = np.flatnonzero(first == np.arange(len(first)))
     entry = np.searchsorted(head, first)
-    left, right, anchor = flanks(data, places, grams, start[head], size[head], bucket[head], least)
-    return Block(data, bounds, keys, start, size, owner, entry, bucket[head], content[head], keys[owner[head]], head, left, right, anchor)
+    left, right, anchor = flanks(words, places, grams, start[head], size[head], bucket[head], least)
+    return Block(words, bounds, keys, start, size, owner, entry, bucket[head], content[head], keys[owner[head]], head, left, right, anchor)
 
 
-def flanks(data: np.ndarray, places: np.ndarray, grams: np.ndarray, start: np.ndarray, size: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flanks(words: np.ndarray, places: np.ndarray, grams: np.ndarray, start: np.ndarray, size: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, anchor) of runs: hashes of the bytes beside the run's gram, which is at anchor. Two windows that are equal
     have half of their other bytes, or more, equal before the gram or behind it. NONE: the run hasn't so many there;
     ANY: the gram occurs twice."""
@@ -236,13 +234,13 @@ def flanks(data: np.ndarray, places: np.ndarray, grams: np.ndarray, start: np.nd
         at += 1
     out = []
     for at, there in ((anchor - half, anchor - half >= start), (anchor + GRAM, anchor + GRAM + half <= end)):
-        h = string_hash(data, np.where(there, at, 0), half)
+        h = string_hash(words, np.where(there, at, 0), half)
         out.append(np.where(count > 1, ANY, np.where(there, h % np.uint64(ANY - 1) + np.uint64(1), NONE)).astype("<u2"))
     return out[0], out[1], anchor
 
 
-def open_windows(b: Block, status: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows to compare, refined: (their starts, keys, bucket number), and each bucket's hash and least key."""
+def open_windows(b: Block, status: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows to compare: their starts (ascending), their keys, and the number of each's group of equal ones."""
     e = np.flatnonzero(status > WHOLE)
     size, first = b.size[b.head[e]], b.start[b.head[e]]
     starts = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -250,81 +248,111 @@ def open_windows(b: Block, status: np.ndarray, least: int = LEAST) -> tuple[np.n
     told = np.repeat(status[e], size)
     asked = (before & (told & BEFORE > 0)) | (~before & (told & BEHIND > 0)) | (told == BEFORE + BEHIND)
     starts, keys = starts[asked], np.repeat(b.key[e], size)[asked]
-    if not len(starts):
-        return starts, keys, np.zeros(0, np.int64), np.zeros(0, np.uint64), keys
-    group = ranks(b.data, starts, least)
-    order = np.lexsort((keys, group))
-    head = order[np.r_[True, group[order][1:] != group[order][:-1]]]
-    return starts, keys, group, string_hash(b.data, starts[head], least), keys[head]
-
-
-def covered(b: Block, status: np.ndarray, starts: np.ndarray, keys: np.ndarray, group: np.ndarray, smallest: np.ndarray, elsewhere: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Which bytes to remove. elsewhere: by bucket of windows, whether another block has a smaller key."""
-    hit = np.zeros(len(b.data), bool)
-    hit[starts] = (smallest[group] < keys) | elsewhere[group]
+    order, sorted_group = refined(b.words, starts, least)
+    group = np.empty(len(starts), np.int64)
+    group[order] = sorted_group
+    return starts, keys, group
+
+
+def settled(b: Block, status: np.ndarray, starts: np.ndarray, keys: np.ndarray, group: np.ndarray, smallest: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which bytes are covered by strings that this block knows to be repeated, starts of windows whose group another block may
+    know, those groups' numbers)."""
+    of = np.full(len(b.words), -1, np.int32)  # of a place: its window among those compared
+    of[starts] = np.arange(len(starts))
     part = status[b.entry]
     own = b.keys[b.owner] == b.key[b.entry]
     whole = (part == WHOLE) | ~own
-    mark = np.zeros(len(b.data) + 1, np.int32)
+    mark = np.zeros(len(b.words) + 1, np.int32)
     np.add.at(mark, b.start[whole], 1)
     np.add.at(mark, b.start[whole] + b.size[whole] + least - 1, -1)
     some = np.flatnonzero((part > WHOLE) & own)
     size = b.size[some]
     place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    yes = hit[np.repeat(b.start[b.head[b.entry[some]]], size) + place]
-    at = (np.repeat(b.start[some], size) + place)[yes]
+    window = of[np.repeat(b.start[b.head[b.entry[some]]], size) + place]
+    at = (np.repeat(b.start[some], size) + place)[window >= 0]
+    window = window[window >= 0]
+    hit = smallest[group[window]] < keys[window]
+    np.add.at(mark, at[hit], 1)
+    np.add.at(mark, at[hit] + least, -1)
+    return np.cumsum(mark, out=mark)[: b.bounds[-1]] > 0, at[~hit], group[window[~hit]]
+
+
+def covered(known: np.ndarray, at: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Which bytes to remove: those known, and those that windows at these places cover."""
+    mark = np.zeros(len(known) + 1, np.int32)
     np.add.at(mark, at, 1)
     np.add.at(mark, at + least, -1)
-    return np.cumsum(mark, out=mark)[: b.bounds[-1]] > 0
+    return known | (np.cumsum(mark, out=mark)[:-1] > 0)
+
 
+def packed(alike: list[np.ndarray], *random: np.ndarray) -> bytes:
+    """Columns that compress, compressed where it pays, then columns of hashes as they are."""
+    body = b"".join(np.ascontiguousarray(c).tobytes() for c in alike)
+    small = zlib.compress(body, 1) if len(body) > 256 else body
+    return len(small).to_bytes(4, "little") + small + b"".join(np.ascontiguousarray(c).tobytes() for c in random)
 
-def packed(*columns: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
 
+def unpacked(body: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the two kinds of columns; size: of the first kind."""
+    n = int.from_bytes(body[:4], "little")
+    first = body[4 : 4 + n]
+    return np.frombuffer(zlib.decompress(first) if size > 256 else first, np.uint8), np.frombuffer(body, np.uint8, offset=4 + n)
 
-def five(x: np.ndarray) -> np.ndarray:
-    """The low five bytes of each number."""
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+
+def low_bytes(x: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
 
 
 def dealt(names: np.ndarray, parts: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
-def by_part(part_of: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if (keys[1:] < keys[:-1]).any():
-        return np.lexsort((keys, part_of))
+def by_part(part_of: np.ndarray) -> np.ndarray:
     return np.argsort(part_of.astype(np.uint16) if len(part_of) and part_of.max() < 1 << 16 else part_of, kind="stable")
 
 
-def sent(block: int, part_of: np.ndarray, parts: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
-    """A row for each part: the keys (as differences) and columns of the entries dealt to it, by key."""
-    order = by_part(part_of, keys)
-    cut = np.searchsorted(part_of[order], np.arange(parts + 1))
-    rows = [(p, packed(np.diff(keys[order[cut[p] : cut[p + 1]]], prepend=0), *(c[order[cut[p] : cut[p + 1]]] for c in columns)), int(cut[p + 1] - cut[p])) for p in range(parts) if cut[p + 1] > cut[p]]
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64()), "body": pa.array([r[1] for r in rows], pa.binary())})
+def sent(block: int, part_of: np.ndarray, keys: np.ndarray, alike: list[np.ndarray], random: list[np.ndarray]) -> pa.Table:
+    """A row for each part that occurs: the keys (as differences) and columns of the entries dealt to it, in their order."""
+    order = by_part(part_of)
+    first = np.flatnonzero(heads(part_of[order])) if len(order) else order
+    rows = []
+    for a, z in zip(first, np.r_[first[1:], len(order)]):
+        at = order[a:z]
+        rows.append((int(part_of[at[0]]), block, len(at), packed([np.diff(keys[at], prepend=0), *(c[at] for c in alike)], *(c[at] for c in random))))
+    return table_of(SENT, rows)
+
+
+def table_of(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
 
 SENT = "part long, block long, n long, body binary"
-ANSWER = "block long, step int, part long, n long, body binary"
+ANSWER = "block long, part long, n long, body binary"
+#: Bytes of the hashes of entries: of a run's bucket and its content, of a window (in two numbers).
+RUN_BYTES, WINDOW_BYTES = (5, 8), (8, 5)
 
 
-def answered(rows: pa.Table, step: int, values: np.ndarray) -> pa.Table:
+def answered(rows: pa.Table, values: np.ndarray) -> pa.Table:
     n = rows.column("n").to_numpy()
     cut = np.r_[0, np.cumsum(n)]
-    bodies = [zlib.compress(values[a:z].astype(np.uint8).tobytes(), 1) for a, z in zip(cut, cut[1:])]
-    return pa.table({"block": rows.column("block"), "step": pa.array([step] * len(n), pa.int32()), "part": rows.column("part"), "n": rows.column("n"), "body": pa.array(bodies, pa.binary())})
+    bodies = [packed([values[a:z].astype(np.uint8)]) for a, z in zip(cut, cut[1:])]
+    return pa.table({"block": rows.column("block"), "part": rows.column("part"), "n": rows.column("n"), "body": pa.array(bodies, pa.binary())})
 
 
-def opened(rows: pa.Table, widths: list[int]) -> tuple[np.ndarray, ...]:
+def opened(rows: pa.Table, alike: tuple[int, ...], random: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     """The keys, and the columns as numbers of so many bytes, of all rows."""
-    keys, out = [], [[] for _ in widths]
+    keys, out = [], [[] for _ in (*alike, *random)]
     for n, body in zip(rows.column("n").to_pylist(), rows.column("body").to_pylist()):
-        raw, at = np.frombuffer(zlib.decompress(body), np.uint8), n * 8
-        keys.append(np.cumsum(raw[:at].view("<i8")))
-        for c, w in zip(out, widths):
-            c.append(raw[at : at + n * w].reshape(n, w))
-            at += n * w
+        first, rest = unpacked(body, n * (8 + sum(alike)))
+        keys.append(np.cumsum(first[: n * 8].view("<i8")))
+        for raw, widths, into, at in ((first, alike, out, n * 8), (rest, random, out[len(alike) :], 0)):
+            for c, w in zip(into, widths):
+                c.append(raw[at : at + n * w].reshape(n, w))
+                at += n * w
     return np.concatenate(keys), *(number(np.concatenate(c)) for c in out)
 
 
@@ -336,7 +364,7 @@ def number(raw: np.ndarray) -> np.ndarray:
 
 def runs_met(rows):
     """What to tell of each run: see WHOLE, BEFORE, BEHIND. 0: no smaller key has a string of it."""
-    key, bucket, content, left, right = opened(rows, [5, 5, 2, 2])
+    key, left, right, bucket, content = opened(rows, (2, 2), RUN_BYTES)
     order = np.lexsort((key, content, bucket))
     bk, ct, ky = bucket[order], content[order], key[order]
     one = np.r_[True, bk[1:] != bk[:-1]]
@@ -354,49 +382,72 @@ def runs_met(rows):
         told[by[met]] |= bit
     back = np.empty(len(order), np.int64)
     back[order] = np.where(ky > least[in_run], WHOLE, told[in_run])
-    return answered(rows, 1, back)
+    return answered(rows, back)
 
 
-def windows_met(rows):
-    """1 if a smaller key has the same window."""
-    key, name = opened(rows, [8])
-    order = np.lexsort((key, name))
-    new = np.r_[True, name[order][1:] != name[order][:-1]]
+def windows_met(rows: pa.Table) -> pa.Table:
+    """1 if a smaller key has the same window. What a block has put aside for itself (part below 0) goes back to it."""
+    if rows.column("part")[0].as_py() < 0:
+        return rows.select(["block", "part", "n", "body"])
+    key, name, more = opened(rows, (), WINDOW_BYTES)
+    order = np.lexsort((key, more, name))
+    new = heads(name[order], more[order])
     back = np.empty(len(order), np.int64)
     back[order] = key[order] > key[order][new][np.cumsum(new) - 1]
-    return answered(rows, 2, back)
+    return answered(rows, back)
 
 
-def replies(answers: pa.Table, step: int, part_of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def replies(answers: pa.Table, part_of: np.ndarray) -> np.ndarray:
     """The answers in the order of the entries that were sent."""
     out = np.zeros(len(part_of), np.uint8)
-    order = by_part(part_of, keys)
-    for s, p, body in zip(*(answers.column(c).to_pylist() for c in ("step", "part", "body"))):
-        if s == step:
-            a, z = np.searchsorted(part_of[order], [p, p + 1])
-            out[order[a:z]] = np.frombuffer(zlib.decompress(body), np.uint8)
+    order = by_part(part_of)
+    ordered = part_of[order]
+    for p, n, body in zip(*(answers.column(c).to_pylist() for c in ("part", "n", "body"))):
+        if p >= 0:
+            a = int(np.searchsorted(ordered, p))
+            out[order[a : a + n]] = unpacked(body, n)[0]
     return out
 
 
+def put_aside(block: int, known: np.ndarray, at: np.ndarray, group: np.ndarray, part_of: np.ndarray) -> pa.Table:
+    """What settled() has found, and the parts that groups are sent to, as one row for the block itself."""
+    steps = np.concatenate([np.diff(x, prepend=0) for x in (at, group)]).astype("<i4")
+    planes = [np.ascontiguousarray(part_of.astype("<u4").view(np.uint8)[i::4]) for i in range(4)]  # by byte: most are zero
+    body = zlib.compress(b"".join(x.tobytes() for x in (np.packbits(known), steps, *planes)), 1)
+    return table_of(SENT, [(-1 - block, block, len(at), body)])
+
+
+def taken_up(answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(known, at, group, part_of) of put_aside(); n: bytes of the block."""
+    row = int(np.flatnonzero(answers.column("part").to_numpy() < 0)[0])
+    raw, m, at = np.frombuffer(zlib.decompress(answers.column("body")[row].as_py()), np.uint8), answers.column("n")[row].as_py(), -(-n // 8)
+    steps = np.frombuffer(raw[at : at + 8 * m].tobytes(), "<i4")
+    planes = raw[at + 8 * m :].reshape(4, -1).astype(np.int64)
+    part_of = planes[0] + (planes[1] << 8) + (planes[2] << 16) + (planes[3] << 24)
+    return np.unpackbits(raw[:at], count=n).astype(bool), np.cumsum(steps[:m], dtype=np.int64), np.cumsum(steps[m:], dtype=np.int64), part_of
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, block_bytes: int = BLOCK_BYTES, parts: int | None = None, as_text: bool = False) -> DataFrame:
     """`df` with kept_bytes (binary, what is left), n_bytes, n_removed and n_spans (long). as_text: with kept_text, without the
     bytes of characters that a cut has split, in place of kept_bytes."""
     spark = df.sparkSession
     added = ("kept_text" if as_text else "kept_bytes", "n_bytes", "n_removed", "n_spans")
-    kept = [c for c in df.columns if c not in added]
-    names = [c for c in kept if c != text]
+    names = [c for c in others(df, added) if c != text]
     total = df.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     parts = parts or max(2, -(-total // (8 << 20)))
     block, body, order = fresh(df, "dedup_block", "dedup_body", "dedup_key")
-    # every reader below has this same exchange, which Spark makes once
-    dealt_docs = df.select(F.pmod(F.xxhash64(quoted(key)), F.lit(blocks)).alias(block), F.col(quoted(key)).cast("long").alias(order), F.col(quoted(text)).cast("binary").alias(body), *[F.col(quoted(c)).alias(f"{block}_{i}") for i, c in enumerate(names)]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), block)
+    # both readers below have this same exchange, which Spark makes once. Not by key: rows of one key may be many
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    carried = [F.col(quoted(c)).alias(f"{block}_{i}") for i, c in enumerate(names)]
+    dealt_docs = df.select(place.alias(block), F.col(quoted(key)).cast("long").alias(order), F.col(quoted(text)).cast("binary").alias(body), *carried)
+    dealt_docs = dealt_docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), block)
 
-    def read(docs: pa.Table) -> tuple[pa.Table, Block]:
+    def read(docs: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
         keys = docs.column(order).fill_null(NO_KEY).to_numpy()
         texts = [t or b"" for t in docs.column(body).to_pylist()]
         by = sorted(range(len(texts)), key=lambda i: (keys[i], texts[i]))  # the same in every step, in whatever order rows come
-        return docs.take(pa.array(by, pa.int64())), laid_out([texts[i] for i in by], keys[by], least)
+        return docs.take(pa.array(by, pa.int64())), [texts[i] for i in by], keys[by]
 
     def frugal(f):
         def run(*args):
@@ -408,25 +459,37 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         return run
 
     def tell_runs(key_, docs):
-        _, b = read(docs)
-        return sent(key_[0].as_py(), dealt(b.bucket, parts), parts, b.key, [five(b.bucket), five(b.content), b.left, b.right])
+        b = laid_out(*read(docs)[1:], least)
+        return sent(key_[0].as_py(), dealt(b.bucket, parts), b.key, [b.left, b.right], [low_bytes(x, n) for x, n in zip((b.bucket, b.content), RUN_BYTES)])
 
     def tell_windows(key_, docs, answers):
-        _, b = read(docs)
-        _, _, _, name, smallest = open_windows(b, replies(answers, 1, dealt(b.bucket, parts), b.key), least)
-        return sent(key_[0].as_py(), dealt(name, parts), parts, smallest, [name])
+        if not docs.num_rows:
+            return table_of(SENT, [])
+        b = laid_out(*read(docs)[1:], least)
+        status = replies(answers, dealt(b.bucket, parts))
+        starts, keys, group = open_windows(b, status, least)
+        # groups by their first window; documents lie by key, so it has the group's smallest key
+        _, first = np.unique(group, return_index=True)
+        first.sort()
+        again = np.empty(len(first), np.int64)
+        again[group[first]] = np.arange(len(first))
+        group, smallest = again[group], keys[first]
+        name, more = string_hash(b.words, starts[first], least, 1), string_hash(b.words, starts[first], least, 2)
+        part_of = dealt(name, parts)
+        aside = put_aside(key_[0].as_py(), *settled(b, status, starts, keys, group, smallest, least), part_of)
+        return pa.concat_tables([aside, sent(key_[0].as_py(), part_of, smallest, [], [low_bytes(x, n) for x, n in zip((name, more), WINDOW_BYTES)])])
 
     fields = [T.StructField(c, df.schema[c].dataType) for c in names]
     schema = T.StructType([*fields, T.StructField(added[0], T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in added[1:])])
 
     def take_away(key_, docs, answers):
-        docs, b = read(docs)
-        status = replies(answers, 1, dealt(b.bucket, parts), b.key)
-        starts, keys, group, name, smallest = open_windows(b, status, least)
-        gone = covered(b, status, starts, keys, group, smallest, replies(answers, 2, dealt(name, parts), smallest) > 0, least)
-        rows = [(b.data[a:z], gone[a:z]) for a, z in zip(b.bounds, b.bounds[1:])]
+        docs, texts, _ = read(docs)
+        bounds = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+        known, at, group, part_of = taken_up(answers, int(bounds[-1])) if texts else (np.zeros(0, bool), *[np.zeros(0, np.int64)] * 3)
+        gone = covered(known, at[replies(answers, part_of)[group] > 0], least)
+        rows = [(np.frombuffer(t, np.uint8), gone[a:z]) for t, a, z in zip(texts, bounds, bounds[1:])]
         out = [docs.column(f"{block}_{i}") for i in range(len(names))]
-        left = [d[~g].tobytes() for d, g in rows]
+        left = [d[~g].tobytes() if g.any() else t for t, (d, g) in zip(texts, rows)]
         out += [pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())]
         out += [pa.array(x, pa.int64()) for x in ([len(g) for _, g in rows], [int(g.sum()) for _, g in rows], [int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) for _, g in rows])]
         return pa.Table.from_arrays(out, names=[*names, *added])
@@ -434,4 +497,4 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     grouped = dealt_docs.groupBy(block)
     first = grouped.applyInArrow(lambda k, d: frugal(tell_runs)(k, d), SENT).groupBy("part").applyInArrow(runs_met, ANSWER)
     second = grouped.cogroup(first.groupBy("block")).applyInArrow(lambda k, d, a: frugal(tell_windows)(k, d, a), SENT).groupBy("part").applyInArrow(windows_met, ANSWER)
-    return grouped.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(lambda k, d, a: frugal(take_away)(k, d, a), schema)
+    return grouped.cogroup(second.groupBy("block")).applyInArrow(lambda k, d, a: frugal(take_away)(k, d, a), schema)

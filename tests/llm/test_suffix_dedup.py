@@ -47,17 +47,26 @@ def corpus(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("data", [b"", b"a", b"banana", b"abracadabra" * 9, bytes(40), b"\0\0a\0\0b\0"])
-def test_suffix_array(data):
-    assert S.suffix_array(data).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-
-
-def test_ranks():
-    data = b"abcab" * 30
-    starts = np.arange(len(data) - 50)
-    found = S.ranks(np.frombuffer(data + bytes(64), np.uint8), starts, 50)
-    want = sorted({data[i : i + 50] for i in starts})
-    assert [want[k] for k in found] == [data[i : i + 50] for i in starts]
+@pytest.mark.parametrize("data", [b"", b"a" * 300, b"banana" * 40, b"abracadabra" * 9, bytes(140), b"\0\0a\0\0b\0" * 30, bytes(range(256)) * 3])
+@pytest.mark.parametrize("depth, batch, every", [(50, 1 << 17, 1), (50, 7, 1), (16, 30, 3), (9, 1, 1), (23, 64, 5)])
+def test_refined(data, depth, batch, every):
+    starts = np.arange(0, max(0, len(data) - depth + 1), every)
+    order, group = S.refined(S.all_words(np.frombuffer(data + bytes(64), np.uint8)), starts, depth, batch)
+    strings = [data[i : i + depth] for i in starts]
+    names = sorted(set(strings))
+    assert sorted(order) == list(range(len(starts)))
+    assert [names[g] for g in group] == [strings[i] for i in order]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_refined_at_random(seed):
+    r = random.Random(seed)
+    data = b"".join(corpus(seed, 20)) + bytes(r.choices(b"ab", k=200))
+    starts = np.array(sorted(r.sample(range(len(data) - 50), r.randint(1, len(data) - 50))))
+    order, group = S.refined(S.all_words(np.frombuffer(data + bytes(64), np.uint8)), starts, 50, r.choice([1, 10, 100, 1000]))
+    strings = [data[i : i + 50] for i in starts]
+    names = sorted(set(strings))
+    assert [names[g] for g in group] == [strings[i] for i in order]
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -65,8 +74,8 @@ def test_smallest_grams_over_steps(seed):
     r = random.Random(seed)
     data = np.frombuffer(bytes(r.choices(b"abcd"[: r.randint(1, 4)], k=r.choice([0, 34, 35, 36, 100, 32767, 32768, 70000]))) + bytes(64), np.uint8)
     n, reach = len(data) - 64, 35
-    low, places, grams = S.smallest_grams(data, n, reach)
     words = S.all_words(data)
+    low, places, grams = S.smallest_grams(words, n, reach)
     all_ = S.mixed(words[:n] * S._M2 + words[8 : n + 8])
     want = S.slid(all_, reach, np.minimum) if n >= reach else all_[:0]
     assert (low == want).all()
@@ -83,6 +92,28 @@ def test_as_defined(spark, seed):
     assert [(bytes(r.kept_bytes), r.n_bytes, r.n_removed, r.n_spans) for r in out] == brute([t.encode() for t in texts])
 
 
+def test_one_key_for_all_rows_lies_in_many_blocks(spark):
+    texts = [t.decode() for t in corpus(9)]
+    for key in (7, None):
+        out = S.deduplicated(spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string"), block_bytes=1500, parts=3)
+        assert out.agg({"n_removed": "sum"}).first()[0] == 0 and out.count() == len(texts)
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a" * 60, "x", "y")], "doc_id long, text string, N_BYTES string, dedup_BLOCK string")
+    out = S.deduplicated(df)
+    assert out.columns == ["doc_id", "dedup_BLOCK", "kept_bytes", "n_bytes", "n_removed", "n_spans"]
+    out.write.parquet(f"{tmp_path}/out")
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(3)
+    long = " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(60000))
+    rows = [(1, long[1000:1300]), (2, long), (3, "a" * 70000), (4, long[200_000:200_400])]
+    out = {x.doc_id: x.n_removed for x in S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=30000).collect()}
+    assert out == {1: 0, 2: 300, 3: 0, 4: 400}
+
+
 def test_edges(spark):
     passage = "one passage of many words that is repeated here and there, with ü in it"
     rows = [(3, passage, "x"), (1, None, "x"), (2, "", "x"), (None, passage, "x"), (4, passage[:20], "x"), (3, passage, "x")]
