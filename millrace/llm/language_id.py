@@ -25,16 +25,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted
+from .common import fresh, given_back, others, quoted
 
 #: Columns of the hashed vectors.
 WIDTH = 1 << 14
 #: Texts of each language to learn from, at most.
 PER_LANGUAGE = 300
+#: Shares of a language that are ranked apart.
+SALTS = 32
 #: Centroids of each language.
 CLUSTERS = 3
 #: What letters() holds, as a pattern; characters that Java doesn't know yet may be letters.
-LETTER = r"(?![\x{2FFFF}-\x{10FFFF}])[\p{L}\p{Cn}]"
+LETTER = r"[\p{L}\p{Cn}]"
 #: Code points handled at once.
 STEP = 1 << 20
 #: Quantile of held-out cosines that a text must reach, and how far below it, as a share of its distance from the median.
@@ -47,26 +49,29 @@ SIZES = WIDTH.bit_length()
 
 @cache
 def letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x30000)])
+    """By code point: whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def counts(text: str | None) -> np.ndarray:
-    """How often each hashed n-gram occurs; all zero if there is no letter."""
+    """How often each hashed n-gram occurs; all zero if there is no letter. Texts are read in steps, whose last two letters and
+    kind of last character go on to the next."""
     total = np.zeros(WIDTH, np.int64)
-    text = text or ""
+    text, before, start, some = text or "", np.zeros(0, np.uint32), True, False
     for at in range(0, len(text), STEP):
-        points = np.frombuffer(text[max(0, at - 2) : at + STEP].lower().encode("utf-32-le", "replace"), "<u4")
-        known = letters()[np.minimum(points, 0x2FFFF)]
-        points = np.where(known, points, 32).astype(np.uint32)
-        points = points[known | np.r_[True, known[:-1]]]
-        if not known.any():
-            continue
+        points = np.frombuffer(text[at : at + STEP].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        known = letters()[points]
+        some = some or bool(known.any())
+        new = np.where(known, points, 32).astype(np.uint32)[known | np.r_[start, known[:-1]]]
+        start = bool(known[-1])
+        points = np.r_[before, new]
         one = points * np.uint32(2654435761)
         two = (points[:-1] * np.uint32(2246822519) ^ one[1:]) * np.uint32(3266489917)
         three = (two[:-1] * np.uint32(668265263) ^ one[2:]) * np.uint32(374761393)
-        for grams in (one, two, three):
-            total += np.bincount(grams >> np.uint32(18), minlength=WIDTH)
-    return total
+        for i, grams in enumerate((one, two, three)):  # those that end among the new characters
+            total += np.bincount(grams[max(0, len(before) - i) :] >> np.uint32(18), minlength=WIDTH)
+        before = points[-2:]
+    return total if some else np.zeros(WIDTH, np.int64)
 
 
 Sparse = tuple[np.ndarray, np.ndarray]
@@ -164,7 +169,10 @@ def fitted(samples: list[tuple[str, list[Sparse]]], clusters: int = CLUSTERS, le
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", **more) -> Model:
     """A model from a bounded sample of the rows that have a language and a text with a letter."""
     rows = labelled.select(F.col(quoted(lang)).alias("lang"), F.col(quoted(text)).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).withColumn("h", F.xxhash64("text"))
-    keys = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
+    keys = rows.select("lang", "h").distinct().withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)))
+    for level in (["lang", "salt"], ["lang"]):  # the smallest of each share first, so that a language isn't one task's work
+        rank = F.row_number().over(Window.partitionBy(*level).orderBy("h"))
+        keys = keys.withColumn("r", rank).filter(F.col("r") <= per_language)
     limits = keys.groupBy("lang").agg(F.max("h").alias("most")).collect()
     if not limits:
         return fitted([])
@@ -195,7 +203,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text
 def identified(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """`df` with the language, the cosine (0 to 1) and whether the text is rejected."""
     held = df.sparkSession.sparkContext.broadcast(model)  # WIDTH x (languages x CLUSTERS) numbers, whatever the input
-    kept = [c for c in df.columns if c not in names]
+    kept = others(df, names)
     (whole,) = fresh(df, "whole_text")
 
     def predict(batches):
@@ -204,6 +212,7 @@ def identified(df: DataFrame, model: Model, text: str = "text", names: tuple[str
             found = [m.predict(t) for t in b.column(whole).to_pylist()]
             columns = list(zip(*found)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], names=[*kept, *names])
+        given_back()
 
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
     return df.select(*map(quoted, kept), F.col(quoted(text)).alias(whole)).mapInArrow(predict, schema)

@@ -14,22 +14,21 @@ import os
 import re
 import unicodedata
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_by_chunk, pieces, quoted
+from .common import given_back, ids_by_chunk, pieces, quoted
 
 #: Tokens of a sequence.
 ROOM = 4096
 #: Pieces of a group, about.
 GROUP_ROWS = 1 << 17
-#: Parts of texts whose ids a worker remembers (about 200 bytes each); at more it forgets all.
-WORDS = 500_000
-STEP_BYTES = 2 << 20
+#: Bytes that a task remembers of parts of texts and their ids, about; at more it forgets all.
+KNOWN_BYTES = 32 << 20
+STEP_BYTES = 1 << 20
 
 
 def of_kind(kind: str) -> str:
@@ -52,28 +51,24 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not OTHER.search(t) for t in texts]
         cut = [PARTS.findall(t.lower()) if p else () for t, p in zip(texts, plain)]
-        if len(self.known) > WORDS:
-            self.known = {}
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
         new = list(set().union(*cut).difference(self.known))
         for at in range(0, len(new), 256):
             part = new[at : at + 256]
             for w, ids in zip(part, ids_by_chunk(self.tokenizer, part, " ")):
                 self.known[w] = ids.astype("<u4").tobytes()
+                self.size += 180 + len(w) + len(self.known[w])  # two objects and their place in the dictionary
         whole = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         rest = (np.array(e.ids, "<u4").tobytes() for e in whole)
         return [b"".join(map(self.known.__getitem__, parts)) if p else next(rest) for parts, p in zip(cut, plain)]
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def packed(lengths: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each length, placed in the order given; sequences count from 0."""
     count = np.zeros(room + 1, np.int64)  # of open sequences, by gap
@@ -102,16 +97,18 @@ def cut(df: DataFrame, path: str, end: int = 1, key: str = "doc_id", text: str =
     """(doc_id, piece, start, length, ids_crc32) of each piece; `ids` of a piece are 32-bit numbers of its text and the end token."""
 
     def run(batches):
-        mark = np.array([end], "<u4").tobytes()
+        mark, encoder = np.array([end], "<u4").tobytes(), Encoder(path)  # a task's own: workers go on to other work
         for b in pieces(batches, "t", STEP_BYTES):
             rows = []
-            for k, ids in zip(b.column("k").to_pylist(), encoder(path).encode([t or "" for t in b.column("t").to_pylist()])):
+            for k, ids in zip(b.column("k").to_pylist(), encoder.encode([t or "" for t in b.column("t").to_pylist()])):
                 ids += mark
                 for i, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]
                     rows.append((k, i, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field("k").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encoder
+        given_back()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

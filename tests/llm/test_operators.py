@@ -123,14 +123,18 @@ def test_copies_and_letterless_texts_take_no_place_in_the_sample(spark):
 def test_letters_as_the_pattern_has_them(spark):
     df = spark.createDataFrame([(i, chr(i)) for i in range(0x32000) if not 0xD800 <= i < 0xE000], "i int, c string")
     found = {x.i for x in df.filter(F.col("c").rlike(language_id.LETTER)).collect()}
-    own = {int(i) for i in np.flatnonzero(language_id.letters()[:-1])}
-    assert own <= found and max(found) < 0x30000 and not any(chr(i).isascii() for i in found - own)
-
-
-def test_counts_in_steps(monkeypatch):
-    text = "Some wörds, and 12 more.  " * 50
-    whole = language_id.counts(text)
-    assert whole.sum() > 2000 and not language_id.counts("12 3").any()
+    own = {int(i) for i in np.flatnonzero(language_id.letters()[:0x32000])}
+    assert own <= found and 0x30000 in found and not any(chr(i).isascii() for i in found - own)
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 50])
+def test_counts_in_steps(monkeypatch, step):
+    texts = ["Some wörds, and 12 more.  " * 50, "a", ".a", "a.", "ab..  c", "12 3", "  x  y  ", "\U00030000\U00030001 z"]
+    whole = [language_id.counts(t) for t in texts]
+    monkeypatch.setattr(language_id, "STEP", step)
+    for t, w in zip(texts, whole):
+        assert np.array_equal(language_id.counts(t), w)
+    assert whole[0].sum() > 2000 and not whole[5].any() and whole[7].any()
     assert language_id.counts(None).sum() == 0
 
 
@@ -261,7 +265,7 @@ def test_ids_of_odd_characters():
     from tokenizers import Tokenizer
 
     r = random.Random(8)
-    tok, enc = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.encoder(P.path("word_bpe_49k.json"))
+    tok, enc = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.Encoder(P.path("word_bpe_49k.json"))
     odd = ["'s", "'RE", "!'d", "''ll", "ß", "ÀÉ", "ﬁ", "²3", "¼", "ª", "\xa0", "\xad", "\u0130", "\u0131", "\u017f", "\u0149", "\u0300", "\x1c", "\x85", "\x7f", "<|", "endoftext", "|>", "\u01c5", "x", "Word", "..", " ", "\n", "\t "]
     texts = ["".join(r.choices(odd, k=r.randint(0, 12))) for _ in range(3000)] + [chr(i) for i in range(0x250)] + [f"a{chr(i)}b" for i in range(0x250)]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
@@ -300,19 +304,46 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
 
+def brute_lines(rows, least_lines=20, share=0.02, least_kept=0.3):
+    """rows: (host, text). By row: the text without the lines that are removed, the share of words kept, the verdict."""
+    say = lambda x: re.sub("[ \t\x0b\f\r]+", " ", re.sub("[0-9]+", "0", x.lower())).strip(" ")
+    size, holds = Counter(), Counter()
+    for host, t in rows:
+        if t is not None:
+            size[host] += 1
+            holds.update({(host, say(x)) for x in t.split("\n") if say(x)})
+    gone = {k for k, n in holds.items() if n > least_lines and n > share * size[k[0]]}
+    out = []
+    for host, t in rows:
+        lines = (t or "").split("\n")
+        lost = sum(len(say(x).split(" ")) for x in lines if (host, say(x)) in gone)
+        n, _, _, _, again = brute_quality(t or "")
+        left = 1 - min(lost, n) / n if n else 0.0
+        good = n >= 50 and 2 * again <= n and left >= least_kept and n - lost >= 50
+        out.append((None if t is None else "\n".join(x for x in lines if (host, say(x)) not in gone), left, good))
+    return out
+
+
 def test_quality(spark, docs, texts):
     r = random.Random(9)
     say = lambda k: " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(k))
     line = "Subscribe to our list number 7 now"
     good = [say(80) + "\n" + line.replace("7", str(i)) for i in range(30)]
+    few = [say(45) + "\n \n" + line + "  " for i in range(3)]
     thin = ["\n".join([line] * 12) + f"\n{say(3)}"]
     copied = ["\n".join(say(12) for _ in range(6))] * 40
-    all_ = [*texts, *good, *thin, *copied]
-    out = {x.doc_id: x for x in quality.judged(docs(all_).withColumn("kept", F.lit("own"))).collect()}
+    all_ = [*texts, *good, *few, *thin, *copied]
+    df = docs(all_).withColumn("kept", F.lit("own")).withColumn("words_lost", F.lit(1)).withColumn("N_Words", F.lit(1))
+    df = df.withColumn("source", F.when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(F.col("source")))
+    hosts = {x.doc_id: x.source for x in df.collect()}
+    found = quality.judged(df, clean="clean_text")
+    assert len({c.lower() for c in found.columns}) == len(found.columns)
+    out = {x.doc_id: x for x in found.collect()}
+    want = brute_lines([(hosts[i], t) for i, t in enumerate(all_)])
     assert len(out) == len(all_)
     for i, t in enumerate(all_):
         assert tuple(out[i][c] for c in quality.STATS) == brute_quality(t or "")
-    assert all(out[i].kept for i in range(len(texts), len(all_)) if i != len(texts) + 30)
-    assert out[len(texts) + 30].kept_share < 0.1 and not out[len(texts) + 30].kept
-    assert all(0.9 < out[len(texts) + i].kept_share < 0.95 for i in range(30))
+        clean, left, kept = want[i]
+        assert (out[i].clean_text, out[i].kept) == (clean, kept) and abs(out[i].kept_share - left) < 1e-12
+    assert sum(k for _, _, k in want) not in (0, len(all_)) and any(k != out[i].kept for i, (_, _, k) in enumerate(brute_lines([(i, t) for i, t in enumerate(all_)])))
     assert quality.judged(docs([])).count() == 0
