@@ -13,6 +13,10 @@ SHARDS = 16
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+#: The tables' hosts are registered below these, as below a public suffix of two labels.
+SUFFIXES = ["example.com", "example.net", "example.org"]
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -35,7 +39,7 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_filters.judged(page_outcomes(spark, sf_dir), F.col("good"), RULES)
+    out = url_filters.judged(page_outcomes(spark, sf_dir), F.col("good"), RULES, suffixes=SUFFIXES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 

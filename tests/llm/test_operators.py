@@ -61,18 +61,76 @@ def test_urls(spark):
         "http://A.Example.NET/en/1?x=/de/#y": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://example.net/de": ("example.net", "/de", "net/", "block"), "x://badexample.com/de/": ("badexample.com", "/de/", None, "allow"),
         "http://net?/": ("net", "", None, "allow"), "a.net/x": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://é.ORG/fr/://b.net/": ("é.org", "/fr/://b.net/", "org/fr/", "allow"), "://x.net/": ("x.net", "/", "net/", "block"), "": ("", "", None, "allow"),
     }
-    df = spark.createDataFrame([(u, None, "own") for u in cases], "url string, good int, host string")
-    out = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judged(df, F.col("good"), rules).collect()}
-    assert out == cases
+    df = spark.createDataFrame([(u, None, "own", 1, 2) for u in cases], "url string, good int, HOST string, Verdict int, page_half int")
+    found = url_filters.judged(df, F.col("good"), rules)
+    assert found.columns == ["url", "good", "page_half", "host", "path", "rule", "verdict", "mean", "lower", "upper"]
+    assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in found.collect()} == cases
+    assert url_filters.judged(df.limit(0), F.col("good"), rules).count() == 0
 
 
 def test_reputation_shrinks(spark):
     rows = [("a.bad.com", 0)] * 40 + [("b.bad.com", None), ("c.good.org", None), ("new.com", 1)] + [(f"h{i}.good.org", 1) for i in range(60)] + [("one.good.org", 0)]
-    out = {r.host: r for r in url_filters.reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
+    out = {r.host: r for r in url_filters.reputation(url_filters.host_sums(spark.createDataFrame(rows, "host string, good int"))).collect()}
     assert out["a.bad.com"].upper < 0.3 and out["b.bad.com"]["mean"] < 0.5 < out["c.good.org"]["mean"]
     assert 0.3 < out["one.good.org"]["mean"] < out["h1.good.org"]["mean"]
     assert all(0 <= r.lower <= r["mean"] <= r.upper <= 1 for r in out.values())
-    assert url_filters.reputation(spark.createDataFrame([], "host string, good int")).count() == 0
+    assert url_filters.reputation(url_filters.host_sums(spark.createDataFrame([], "host string, good int"))).count() == 0
+
+
+def plain_reputation(rows, domain, suffix, z=1.645):
+    """Beta-binomial posteriors by their formulas. rows: (host, outcome)."""
+
+    def strength(groups):
+        groups = [(n, s) for n, s in groups if n]
+        k, total = len(groups), sum(n for n, _ in groups)
+        if k < 2 or total <= k:
+            return 10.0
+        mean = sum(s for _, s in groups) / total
+        between = sum(n * (s / n - mean) ** 2 for n, s in groups) / (k - 1)
+        inside = sum(s * (1 - s / n) for n, s in groups) / (total - k)
+        size = (total - sum(n * n for n, _ in groups) / total) / (k - 1)
+        rho = (between - inside) / (between + (size - 1) * inside) if between > inside else 0
+        return min(max((1 - rho) / rho, 1.0), 1000.0) if rho > 1e-3 else 1000.0
+
+    def sums(name):
+        out = {}
+        for h, g in rows:
+            n, s = out.get(name(h), (0, 0))
+            out[name(h)] = (n + 1, s + g) if g is not None else (n, s)
+        return out
+
+    hosts, domains, tops = sums(lambda h: h), sums(domain), sums(suffix)
+    n, s = (sum(x) for x in zip(*tops.values()))
+    k0, k1, k2 = (strength(x.values()) for x in (tops, domains, hosts))
+    out = {}
+    for h, (n_, s_) in hosts.items():
+        mean = (s + 1) / (n + 2)
+        for (m, t), k in ((tops[suffix(h)], k0), (domains[domain(h)], k1), ((n_, s_), k2)):
+            size, mean = m + k, (t + k * mean) / (m + k)
+        sd = (mean * (1 - mean) / (size + 1)) ** 0.5
+        out[h] = mean, max(mean - z * sd, 0), min(mean + z * sd, 1)
+    return out
+
+
+def test_posteriors_by_their_formulas_and_the_learned_limit(spark):
+    r = random.Random(12)
+    share = {f"h{i}.site{i % 9}.{'com' if i % 2 else 'co.uk'}": (0.2 if i % 5 == 0 else 0.9) for i in range(60)} | {"10.0.0.1": 0.9, "co.uk": 0.9}
+    rows = [(f"http://{h}/p{k}", h, int(r.random() < g) if r.random() < 0.8 else None) for h, g in share.items() for k in range(40)]
+    df = spark.createDataFrame([(u, g) for u, _, g in rows], "url string, good int")
+    out = url_filters.judged(df, F.col("good"), suffixes=["co.uk"]).dropDuplicates(["host"]).collect()
+    ip = lambda h: h[0].isdigit()
+    suffix = lambda h: "" if ip(h) else "co.uk" if h.endswith("co.uk") else "com"
+    domain = lambda h: h if ip(h) else ".".join(h.split(".")[-3 if h.endswith("co.uk") else -2 :])
+    want = plain_reputation([(h, g) for _, h, g in rows], domain, suffix)
+    assert len(out) == len(share)
+    for x in out:
+        assert all(abs(a - b) < 1e-9 for a, b in zip((x["mean"], x.lower, x.upper), want[x.host]))
+    assert {x.host for x in out if x.verdict == "block"} == {h for h, g in share.items() if g < 0.5}
+
+
+def test_best_limit():
+    assert url_filters.best_limit([]) == 0 and url_filters.best_limit([(700, 5.0), (800, -3.0)]) == 0
+    assert url_filters.best_limit([(800, 9.0), (300, -5.0), (500, 2.0), (400, -1.0), (600, -2.0)]) == 0.401
 
 
 # 3: languages
