@@ -3,7 +3,7 @@
 Bytes map to characters (printable ones to themselves, the rest from U+0100 on); merges follow from ranks. Decoding maps
 characters back to bytes, which may hold parts of a character; `text_of` joins such parts over calls.
 
-Defined results: null texts are empty and have no ids. Extra columns pass through.
+Defined results: null texts are empty and have no ids. Extra columns pass through (of the same name as a result: replaced).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, pieces, quoted
+from .common import fresh, others, pieces, quoted
 
 #: Bytes of text encoded at once.
 STEP_BYTES = 1 << 19
@@ -97,7 +97,7 @@ def tokenized(df: DataFrame, path: str, pattern: str, text: str = "text", ids: b
     """`df` with token_ids (if ids), n_tokens, ids_sha256 (of decimal ids joined by a space) and decoded_sha256."""
     description = df.sparkSession.sparkContext.broadcast(described(path, pattern))  # as large as the vocabulary file
     added = [*["token_ids"] * ids, "n_tokens", "ids_sha256", "decoded_sha256"]
-    kept = [c for c in df.columns if c not in added]
+    kept = others(df, added)
     (whole,) = fresh(df, "whole_text")
 
     def run(batches):

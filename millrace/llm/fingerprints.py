@@ -18,6 +18,8 @@ from .common import fresh, quoted
 
 #: Words of a shingle, and the share of hashes that are kept.
 SHINGLE, SHARE = 5, 1.0
+#: Bytes of a range of keys, about, and ranges at most: their bounds are part of the plan. Larger ranges are sorted on disk.
+RANGE_BYTES, RANGES = 32 << 20, 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -64,33 +66,45 @@ def written(fingerprint: Column) -> Column:
 def with_next(df: DataFrame, columns: list[str], key: str, then: str, parts: int | None = None) -> DataFrame:
     """`df` with struct `then` of the columns in the row of the next larger key; after the last comes the first.
 
-    Rows are dealt to ranges of keys, with the first row of each range also at the end of the range before. Of rows of
-    the same key the order is by hash of the columns. Null keys come last."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k, part, tie = fresh(df, "range_key", "range_part", "range_tie")
-    keyed = df.withColumn(k, F.coalesce(F.col(quoted(key)), F.lit(2**63 - 1)))
-    found = keyed.agg(F.percentile_approx(k, [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or [0]
-    bounds = sorted(set(found))
-    width = max(1, int(len(bounds) ** 0.5))
-    coarse, fine = bounds[::width], [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    group = F.size(F.filter(F.array(*map(F.lit, coarse)).cast("array<bigint>"), lambda b: b <= F.col(k)))
-    inside = F.element_at(F.array(*[F.array(*map(F.lit, f)).cast("array<bigint>") for f in fine]), F.greatest(group, F.lit(1)))
-    number = F.when(group == 0, 0).otherwise((group - 1) * width + F.size(F.filter(inside, lambda b: b <= F.col(k))))
-    firsts = dict(sorted(keyed.select(number.alias(part), k).groupBy(part).agg(F.min(k)).collect()))  # a row for each range
-    if not firsts:
+    Rows are dealt to ranges of keys, with the first row of each range also at the end of the range before. Rows of the same
+    key follow each other in an order drawn from their place in the input, which also splits a key of many rows over ranges; so
+    the input must give its rows in the same order when it is read again, as tables do. Null keys come last."""
+    k, part, tie, at = fresh(df, "range_key", "range_part", "range_tie", "range_place")
+    kinds = dict(df.dtypes)
+    size = sum((F.coalesce(F.octet_length(quoted(c)), F.lit(0)).cast("long") for c in columns if kinds[c] in ("string", "binary")), F.lit(16))
+    rows, low, high, total = df.select(F.col(quoted(key)).alias(k), size.alias(part)).agg(F.count(F.lit(1)), F.min(k), F.max(k), F.sum(part)).first()
+    if not rows:
         return df.withColumn(then, F.struct(*map(quoted, columns)))
-    there = list(firsts)
+    low, high = (0, 0) if low is None else (low, high)
+    parts = parts or max(1, min(RANGES, -(-total // RANGE_BYTES)))
+    keyed = df.withColumns({k: F.coalesce(F.col(quoted(key)).cast("decimal(20,0)"), F.lit(high).cast("decimal(20,0)") + 1), tie: F.xxhash64(F.monotonically_increasing_id())})
+    # a number that grows with (key, tie); several rows may share it, which then share a range
+    keyed = keyed.withColumn(at, (F.col(k) - F.lit(low).cast("decimal(20,0)")).cast("double") + (F.col(tie) / 2.0**64 + 0.5))
+    found = keyed.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0]
+    bounds = sorted(set(found)) if parts > 1 else []
+    number = F.lit(0)
+    if bounds:
+        width = max(1, int(len(bounds) ** 0.5))
+        coarse, fine = bounds[::width], [bounds[i : i + width] for i in range(0, len(bounds), width)]
+        group = F.size(F.filter(F.array(*map(F.lit, coarse)), lambda b: b <= F.col(at)))
+        inside = F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in fine]), F.greatest(group, F.lit(1)))
+        number = F.when(group == 0, 0).otherwise((group - 1) * width + F.size(F.filter(inside, lambda b: b <= F.col(at))))
+    first = F.min(F.struct(k, tie)).alias("f")
+    firsts = {r[0]: (r.f[0], r.f[1]) for r in keyed.select(number.alias(part), k, tie).groupBy(part).agg(first).collect()}  # a row for each range
+    there = sorted(firsts)
     before = dict(zip(there, [there[-1], *there[:-1]]))
-    first_of = F.array(*[F.lit(firsts.get(i)) for i in range(len(bounds) + 1)]).cast("array<bigint>")
-    before_of = F.array(*[F.lit(before.get(i)) for i in range(len(bounds) + 1)]).cast("array<int>")
+    every = range(len(bounds) + 1)
+    key_of = F.array(*[F.lit(str(firsts[i][0]) if i in firsts else None).cast("decimal(20,0)") for i in every])
+    tie_of = F.array(*[F.lit(firsts[i][1] if i in firsts else None).cast("long") for i in every])
+    before_of = F.array(*[F.lit(before.get(i)).cast("int") for i in every])
     own = F.struct(F.col(part).alias("part"), F.lit(False).alias("copy"))
     again = F.struct(F.element_at(before_of, F.col(part) + 1).alias("part"), F.lit(True).alias("copy"))
-    placed = keyed.withColumn(part, number.cast("int")).withColumn(tie, F.xxhash64(*map(quoted, columns)))
-    placed = placed.withColumn(part, F.explode(F.when(F.col(k) == F.element_at(first_of, F.col(part) + 1), F.array(own, again)).otherwise(F.array(own))))
+    placed = keyed.withColumn(part, number.cast("int"))
+    is_first = (F.col(k) == F.element_at(key_of, F.col(part) + 1)) & (F.col(tie) == F.element_at(tie_of, F.col(part) + 1))
+    placed = placed.withColumn(part, F.explode(F.when(is_first, F.array(own, again)).otherwise(F.array(own))))
     order = Window.partitionBy(f"{part}.part").orderBy(f"{part}.copy", k, tie)
     led = placed.withColumn(then, F.lead(F.struct(*map(quoted, columns))).over(order))
-    return led.filter(~F.col(f"{part}.copy")).drop(k, part, tie)
+    return led.filter(~F.col(f"{part}.copy")).drop(k, part, tie, at)
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -10,10 +10,11 @@ classes. Then, in each bucket that still holds several classes, the texts outsid
 all texts of other classes there. So no pair of different classes in a bucket stays uncompared, and a bucket of one class,
 however large, gives a row for each text.
 
-Equal texts are one node from the start. Defined results: null texts are empty; all texts without a word are equal only
-if their text is; texts of one to four words are one shingle; a null key's document is in the class of its equal texts
-only; class_id is the smallest key of the class (null if all its keys are null). Rows of one key share a class,
-even if their texts differ. Extra columns pass through.
+Equal texts are one node from the start, named by their smallest key, or by a hash of the text from NO_KEY on where all their
+keys are null. Defined results: null texts are empty; all texts without a word are equal only if their text is; texts of one
+to four words are one shingle; class_id is the smallest key of the class (null if all its keys are null). Keys are below
+NO_KEY. Rows of one key share a class, even if their texts differ. A very long text is handled by itself. Extra
+columns pass through (of the same name as a result: replaced).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, given_back, pieces, quoted, saved, small_batches
+from .common import checkpointed, fresh, given_back, others, pieces, quoted, saved, small_batches
 
 #: Words of a shingle, and the weighted Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
@@ -37,6 +38,8 @@ LEAST_EQUAL = 0.62
 STEP_BYTES, ROW_BYTES = 1 << 20, 1 << 10
 #: Bytes of texts that are compared as a block with another.
 BLOCK_BYTES = 1 << 18
+#: Names of texts that no key names start here.
+NO_KEY = 1 << 62
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
@@ -238,14 +241,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def classed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with class_id (the smallest key of its class) and is_kept (true for one row of each class)."""
-    kept = [c for c in df.columns if c not in ("class_id", "is_kept")]
+    kept = others(df, ("class_id", "is_kept"))
     h1, h2, row = fresh(df, "text_hash", "text_hash_b", "row_id")
     body = F.coalesce(F.col(quoted(text)), F.lit(""))
     marked = df.withColumns({h1: F.xxhash64(body), h2: F.xxhash64(F.lit(7), body), row: F.monotonically_increasing_id()})
-    plain = marked.select(F.col(quoted(key)).cast("long").alias("id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), body.cast("binary").alias("body"), F.col(row).alias("row"))
-    first = plain.groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f")).select("h1", "h2", F.col("f.id").alias("id"), F.col("f.row").alias("row"))
+    named = F.coalesce(F.col(quoted(key)).cast("long"), F.col(h1).bitwiseAND(F.lit(NO_KEY - 1)) + F.lit(NO_KEY))
+    plain = marked.select(named.alias("id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), body.cast("binary").alias("body"), F.col(row).alias("row"))
+    first = plain.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("f")).select("h1", "h2", F.col("f.id").alias("id"), F.col("f.row").alias("row"))
     signs = signed(plain.select("id", "h1", "h2", "body")).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    nodes = checkpointed(signs.filter("id is not null").select("id", "h1", "bands", "marks"))
+    nodes = checkpointed(signs.select("id", "h1", "bands", "marks"))
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpointed(buckets.join(full, "bucket"))
@@ -262,8 +266,9 @@ def classed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         more = checkpointed(crossing(rooted, texts))
     if not more.isEmpty():
         roots = components(links.union(more))
-    classes = first.join(roots, "id", "left").select("h1", "h2", "id", F.coalesce("root", "id").alias("root"), F.col("row").alias("first_row"))
-    classes = checkpointed(classes.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("root").alias("class_id"), F.when(F.col("root").eqNullSafe(F.col("id")), F.col("first_row")).alias("first_row")))
-    clash = {c: f"{c}_of_class" for c in ("class_id", "first_row")}
-    out = marked.select(*map(quoted, kept), h1, h2, row).join(classes.withColumnsRenamed(clash), [h1, h2])
-    return out.select(*map(quoted, kept), F.col(clash["class_id"]).alias("class_id"), (F.col(row) == F.coalesce(F.col(clash["first_row"]), F.lit(-1))).alias("is_kept"))
+    of_class, of_row = fresh(marked, "class_of_text", "row_of_text")
+    classes = first.join(roots, "id", "left").select("h1", "h2", "id", F.coalesce("root", "id").alias("root"), "row")
+    keyed, kept_row = F.when(F.col("root") < NO_KEY, F.col("root")), F.when(F.col("root") == F.col("id"), F.col("row"))
+    classes = checkpointed(classes.select(F.col("h1").alias(h1), F.col("h2").alias(h2), keyed.alias(of_class), kept_row.alias(of_row)))
+    out = marked.select(*map(quoted, kept), h1, h2, row).join(classes, [h1, h2])
+    return out.select(*map(quoted, kept), F.col(of_class).alias("class_id"), (F.col(row) == F.coalesce(F.col(of_row), F.lit(-1))).alias("is_kept"))

@@ -81,3 +81,28 @@ def test_edges(spark):
     out = N.classed(spark.createDataFrame(rows, "doc_id long, text string, class_id string")).collect()
     assert sorted((r.doc_id or 0, r.class_id or 0, r.is_kept) for r in out) == [(0, 0, True), (0, 3, False), (3, 3, True), (5, 3, False), (5, 3, False)]
     assert N.classed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_without_keys_are_linked(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve " * 3, "other words stand in this text which is like no other text here"
+    near = "zero " + a * 2
+    rows = [(None, a * 2), (None, near), (None, a * 2), (7, b), (None, b + " too and on"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, Class_ID string, first_row_of_class int")
+    found = N.classed(df)
+    assert found.columns == ["doc_id", "text", "first_row_of_class", "class_id", "is_kept"]
+    out = found.collect()
+    assert sum(r.is_kept for r in out if r.text in (a * 2, near)) == 1 and all(r.class_id is None for r in out if r.text in (a * 2, near))
+    assert [r.class_id for r in out if r.text == b] == [7] and sum(r.is_kept for r in out if not r.text) == 1
+
+
+def test_a_near_copy_without_a_key_joins_the_class_of_one_with_a_key(spark):
+    a = " ".join(f"word{i}" for i in range(200))
+    out = N.classed(spark.createDataFrame([(None, a + " more"), (5, a), (9, a + " other")], "doc_id long, text string")).collect()
+    assert {r.class_id for r in out} == {5} and [r.doc_id for r in out if r.is_kept] == [5]
+
+
+def test_very_long_texts(spark):
+    a = " ".join(f"word{i % 50021}" for i in range(150_000))
+    out = N.classed(spark.createDataFrame([(1, a), (2, a + " end"), (3, a[: len(a) // 2])], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == {1: 1, 2: 1, 3: 3}
+    assert N.classed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
