@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, near_dedup, packing, quality, secrets, sharding, suffix_dedup, url_filters
+from . import byte_bpe, fingerprints, language_id, near_dedup, oracles, packing, quality, secrets, sharding, suffix_dedup, url_filters
 from .common import table
 
 SHARDS = 16
@@ -105,8 +105,9 @@ def queries() -> dict:
     import corpus_pipeline
 
     own = [op1_shards, op2_url_filters, op3_language, op4_suffix_dedup, op5_fingerprints, op6_secrets, op7_byte_bpe, op8_packing, op9_quality, op10_near_dedup]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    own = {f.__name__: f for f in own}
+    return own | {"pipeline": corpus_pipeline.run} | oracles.queries(own)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
