@@ -6,13 +6,13 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, near_dedup, packing, secrets, suffix_dedup
+from millrace.llm.common import removed, shared_folder
 from millrace.llm.queries import language_model, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document of a smaller id has are cut out."""
     out = suffix_dedup.deduplicated(docs, as_text=True)
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    size = F.length("kept_text").cast("long").alias("n_chars")
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,17 +48,24 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.in_sequences(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("language ID", language), ("near duplicates", near_duplicates), ("repeated passages", passages), ("secrets", without_secrets), ("packing", sequences)]
+STAGES = [
+    ("language ID", language),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", passages),
+    ("secrets", without_secrets),
+    ("packing", sequences),
+]
 #: Nearest centroids, near-duplicate classes and Markov models are not for SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. The stages before it are written to the session's checkpoint folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. The stages before it are written to the session's shared checkpoint folder, each until the next one is."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
