@@ -91,8 +91,22 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
-def given_back() -> None:
-    """Memory that this worker has freed goes back to the system, so that workers which rest between blocks hold little."""
+_remembered: dict = {}
+
+
+def remembered(name: str, make):
+    """What `make` makes, kept by this worker from task to task until given_back() comes from other work than this."""
+    if name not in _remembered:
+        _remembered.clear()
+        _remembered[name] = make()
+    return _remembered[name]
+
+
+def given_back(but: str | None = None) -> None:
+    """Memory that this worker has freed goes back to the system, and what it remembers from other work than `but` with it, so that
+    workers which rest, or go on to other work, hold little."""
+    for name in [n for n in _remembered if n != but]:
+        del _remembered[name]
     pa.default_memory_pool().release_unused()
     _trim()(0)
 

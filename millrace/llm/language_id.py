@@ -207,6 +207,7 @@ def identified(df: DataFrame, model: Model, text: str = "text", names: tuple[str
     (whole,) = fresh(df, "whole_text")
 
     def predict(batches):
+        given_back()
         m = held.value
         for b in batches:
             found = [m.predict(t) for t in b.column(whole).to_pylist()]

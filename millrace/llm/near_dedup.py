@@ -129,6 +129,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """docs(id, h1, h2, body) to (id, h1, h2, bands, marks): a byte of each coordinate serves to estimate."""
 
     def sign(batches):
+        given_back()
         for b in pieces(batches, "body", STEP_BYTES, ROW_BYTES):
             doc, cell = cells([t or b"" for t in b.column("body").to_pylist()])
             found = signatures(doc, cell, b.num_rows)

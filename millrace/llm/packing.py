@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, ids_by_chunk, pieces, quoted
+from .common import given_back, ids_by_chunk, pieces, quoted, remembered
 
 #: Tokens of a sequence.
 ROOM = 4096
 #: Pieces of a group, about.
 GROUP_ROWS = 1 << 17
-#: Bytes that a task remembers of parts of texts and their ids, about; at more it forgets all.
-KNOWN_BYTES = 32 << 20
+#: Bytes that a worker remembers of parts of texts and their ids, about, while it packs; at more it forgets all.
+KNOWN_BYTES = 80 << 20
 STEP_BYTES = 1 << 20
 
 
@@ -63,7 +63,7 @@ class Encoder:
             part = new[at : at + 256]
             for w, ids in zip(part, ids_by_chunk(self.tokenizer, part, " ")):
                 self.known[w] = ids.astype("<u4").tobytes()
-                self.size += 180 + len(w) + len(self.known[w])  # two objects and their place in the dictionary
+                self.size += 160 + len(w) + len(self.known[w])  # two objects and their place in the dictionary
         whole = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         rest = (np.array(e.ids, "<u4").tobytes() for e in whole)
         return [b"".join(map(self.known.__getitem__, parts)) if p else next(rest) for parts, p in zip(cut, plain)]
@@ -97,7 +97,8 @@ def cut(df: DataFrame, path: str, end: int = 1, key: str = "doc_id", text: str =
     """(doc_id, piece, start, length, ids_crc32) of each piece; `ids` of a piece are 32-bit numbers of its text and the end token."""
 
     def run(batches):
-        mark, encoder = np.array([end], "<u4").tobytes(), Encoder(path)  # a task's own: workers go on to other work
+        given_back(path)
+        mark, encoder = np.array([end], "<u4").tobytes(), remembered(path, lambda: Encoder(path))
         for b in pieces(batches, "t", STEP_BYTES):
             rows = []
             for k, ids in zip(b.column("k").to_pylist(), encoder.encode([t or "" for t in b.column("t").to_pylist()])):
@@ -107,8 +108,7 @@ def cut(df: DataFrame, path: str, end: int = 1, key: str = "doc_id", text: str =
                     rows.append((k, i, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field("k").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        del encoder
-        given_back()
+        given_back(path)
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,7 @@ FORMS = [
     ("hex", r"[0-9a-f]{32,}", 32, 0, 0),  # the maximal runs of 32 or more
 ]
 #: Tokens that the models judge.
-TOKEN = r"[A-Za-z0-9+/_-]{16,}"
-#: A text without this has no match of a form.
-HINT = {"assign": r"(?i:(password|passwd|secret|token|api_?key))[\x22']?\x20*[:=]", "access": "AKIA", "hex": r"[0-9a-f]{32}"}
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"  # whole runs: the search doesn't start inside one
 #: Natural-log likelihood ratio from which a token is reported, in all and for each character: odds of 150 to 1 or more. Models of
 #: the tables give ordinary tokens of scale 0.1 at most 0.9 (those held out in tests: below 5), 94 % of random strings of 16 to
 #: 48 letters and digits more, though hex values are all the random strings that they have seen.
@@ -67,9 +66,15 @@ def places(text: Column, pattern: str, kind: str, rank: int, least: int = 0, gro
     return F.flatten(F.zip_with(parts, begin, spans))
 
 
+def hints(text: Column) -> dict[str, Column]:
+    """By form: whether the text can have a match. Plain searches first, as most texts have none."""
+    named = text.rlike(r"(?i:password|passwd|secret|token|api_?key)[\x22']?\x20*[:=]")
+    return {"assign": (text.contains("=") | text.contains(":")) & named, "access": text.contains("AKIA"), "hex": text.rlike(r"(?<![0-9a-f])[0-9a-f]{32}")}
+
+
 def fixed_spans(text: Column) -> Column:
-    parts = [F.when(text.rlike(HINT[kind]), places(text, p, kind, i, least, group, chars)).otherwise(F.array().cast(SPAN)) for i, (kind, p, least, group, chars) in enumerate(FORMS)]
-    return F.array_sort(F.concat(*parts))
+    none, can = F.array().cast(SPAN), hints(text)
+    return F.array_sort(F.concat(*[F.when(can[kind], places(text, p, kind, i, least, group, chars)).otherwise(none) for i, (kind, p, least, group, chars) in enumerate(FORMS)]))
 
 
 def fitted(labelled: DataFrame, token: str = "token", secret: str = "is_secret") -> list[float]:
@@ -98,9 +103,7 @@ def ratio(token: Column, model: list[float]) -> Column:
 def labelled_tokens(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(token, is_secret) from different texts of the smallest hashes: values that fixed forms name, and other tokens of eight characters or more."""
     texts = df.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    some = F.lit(False)
-    for hint in HINT.values():
-        some = some | F.col("t").rlike(hint)
+    some = reduce(Column.__or__, hints(F.col("t")).values())
 
     def different(rows: DataFrame) -> DataFrame:  # the hashes alone are ranked, then copies of the texts they stand for go
         most = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -121,16 +124,20 @@ def found(df: DataFrame, model: list[float], text: str = "text", base: str = "ba
     (t,) = fresh(df, "searched_text")
     out = df.withColumn(t, F.coalesce(F.col(quoted(text)), F.lit("")))
     out = out.select(*map(quoted, others(out, (base, spans))), fixed_spans(F.col(t)).alias(base))
-    tokens = F.when(F.col(t).rlike(TOKEN), places(F.col(t), TOKEN, "random", len(FORMS))).otherwise(F.array().cast(SPAN))
 
-    def random(s):
-        token = F.substring(F.col(t), s["start"] + 1, s["end"] - s["start"])
+    def scored(token):
         score = ratio(token, model)
+        return (score >= LEAST_RATIO) & (score >= LEAST_EACH * F.length(token))
+
+    def random(s):
         free = ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return free & (score >= LEAST_RATIO) & (score >= LEAST_EACH * (s["end"] - s["start"]))
+        return free & scored(F.substring(F.col(t), s["start"] + 1, s["end"] - s["start"]))
 
+    # one scan gives the tokens; only texts with one that is reported are gone through for the places
+    some = F.exists(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), scored)
+    tokens = F.when(some, F.filter(places(F.col(t), TOKEN, "random", len(FORMS)), random)).otherwise(F.array().cast(SPAN))
     (more,) = fresh(out, "token_spans")
-    out = out.withColumn(more, tokens).withColumn(spans, F.array_sort(F.concat(F.col(base), F.filter(F.col(more), random))))
+    out = out.withColumn(more, tokens).withColumn(spans, F.array_sort(F.concat(F.col(base), F.col(more))))
     return out.drop(t, more)
 
 

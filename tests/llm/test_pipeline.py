@@ -29,7 +29,8 @@ def test_stages_on_known_texts(spark, stages, tmp_path):
     texts[3] = texts[1] + " ende"  # a near copy
     texts[5] = texts[2]
     texts[20], texts[24] = f"{texts[20]} {passage} {texts[22]}", f"{passage} {texts[24]}"
-    texts[30] = say("aa", 400) + " token = " + "".join(r.choices("0123456789abcdef", k=40))
+    for i in range(40, 60):
+        texts[i] += " token = " + "".join(r.choices("0123456789abcdef", k=40))
     rows = [(i, t, ["aa", "bb"][i % 2], "s", len(t)) for i, t in enumerate(texts)]
     rows += [(1000, None, None, None, None), (1001, "", "aa", "s", 0), (1002, "12 34 ::", "bb", None, 8), (1003, "ψωμί " * 40, None, "s", 200), (7, texts[7], "bb", "s", 5)]
     docs, seen = spark.createDataFrame(rows, DOCS).repartition(3), []
@@ -46,7 +47,7 @@ def test_stages_on_known_texts(spark, stages, tmp_path):
     assert {x.doc_id: x.text for x in passages} == {x.doc_id: w[0].decode("utf-8", "ignore") for x, w in zip(own, want)}
     assert any(w[2] for w in want) and all(x.n_chars == len(x.text) for x in passages)
     mark = {x.doc_id: re.sub("token = [0-9a-f]{40}", "[secret]", x.text) for x in passages}
-    assert {x.doc_id: x.text for x in secrets} == mark and mark[30].endswith("[secret]")
+    assert {x.doc_id: x.text for x in secrets} == mark and sum(t.endswith("[secret]") for t in mark.values()) > 10
     from tokenizers import Tokenizer
 
     import public_tokenizers
