@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -129,13 +128,3 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int, row_bytes:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(quoted(column)), F.lit(""))
-
-
-def ids_by_chunk(tokenizer, chunks: list[str], between: str) -> Iterator[np.ndarray]:
-    """Each chunk's ids; all are encoded as one text, which must give a chunk the ids that it has alone."""
-    sizes = np.array([len(c) for c in chunks]) + len(between)
-    encoding = tokenizer.encode(between.join(chunks), add_special_tokens=False)
-    starts = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.ids))
-    cut = np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])
-    ids = np.array(encoding.ids, np.int64)
-    return (ids[a:z] for a, z in zip(cut, cut[1:]))

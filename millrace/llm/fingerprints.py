@@ -11,6 +11,8 @@ texts of one to four words are one shingle. Words are separated by ASCII white s
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from .common import fresh, quoted
 #: Words of a shingle, and the share of hashes that are kept.
 SHINGLE, SHARE = 5, 1.0
 #: Bytes of a range of keys, about, and ranges at most: their bounds are part of the plan. Larger ranges are sorted on disk.
-RANGE_BYTES, RANGES = 32 << 20, 20_000
+RANGE_BYTES, RANGES = 8 << 20, 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -59,13 +61,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def written(fingerprint: Column) -> Column:
-    """As text: sixteen hexadecimal digits a hash, ascending."""
-    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    """As text: the hashes in hexadecimal digits, ascending as signed numbers, with a comma between."""
+    return F.array_join(F.transform(fingerprint, lambda h: F.hex(h)), ",")
 
 
-def with_next(df: DataFrame, columns: list[str], key: str, then: str, parts: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, columns: list[str], key: str, then: str, parts: int | None = None, after: Callable[[DataFrame], DataFrame] | None = None, more: Sequence[str] = ()) -> DataFrame:
     """`df` with struct `then` of the columns in the row of the next larger key; after the last comes the first.
 
+    after: adds columns once rows have been dealt, so that these needn't travel; those named in `more` are in `then` as well.
     Rows are dealt to ranges of keys, with the first row of each range also at the end of the range before. Rows of the same
     key follow each other in an order drawn from their place in the input, which also splits a key of many rows over ranges; so
     the input must give its rows in the same order when it is read again, as tables do. Null keys come last."""
@@ -74,7 +77,7 @@ def with_next(df: DataFrame, columns: list[str], key: str, then: str, parts: int
     size = sum((F.coalesce(F.octet_length(quoted(c)), F.lit(0)).cast("long") for c in columns if kinds[c] in ("string", "binary")), F.lit(16))
     rows, low, high, total = df.select(F.col(quoted(key)).alias(k), size.alias(part)).agg(F.count(F.lit(1)), F.min(k), F.max(k), F.sum(part)).first()
     if not rows:
-        return df.withColumn(then, F.struct(*map(quoted, columns)))
+        return (after(df) if after else df).withColumn(then, F.struct(*map(quoted, [*columns, *more])))
     low, high = (0, 0) if low is None else (low, high)
     parts = parts or max(1, min(RANGES, -(-total // RANGE_BYTES)))
     keyed = df.withColumns({k: F.coalesce(F.col(quoted(key)).cast("decimal(20,0)"), F.lit(high).cast("decimal(20,0)") + 1), tie: F.xxhash64(F.monotonically_increasing_id())})
@@ -102,9 +105,11 @@ def with_next(df: DataFrame, columns: list[str], key: str, then: str, parts: int
     placed = keyed.withColumn(part, number.cast("int"))
     is_first = (F.col(k) == F.element_at(key_of, F.col(part) + 1)) & (F.col(tie) == F.element_at(tie_of, F.col(part) + 1))
     placed = placed.withColumn(part, F.explode(F.when(is_first, F.array(own, again)).otherwise(F.array(own))))
-    order = Window.partitionBy(f"{part}.part").orderBy(f"{part}.copy", k, tie)
-    led = placed.withColumn(then, F.lead(F.struct(*map(quoted, columns))).over(order))
-    return led.filter(~F.col(f"{part}.copy")).drop(k, part, tie, at)
+    placed = placed.withColumns({at: F.col(f"{part}.copy"), part: F.col(f"{part}.part")})
+    placed = placed.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(there)), part)  # as the window needs them
+    order = Window.partitionBy(part).orderBy(at, k, tie)
+    led = (after(placed) if after else placed).withColumn(then, F.lead(F.struct(*map(quoted, [*columns, *more]))).over(order))
+    return led.filter(~F.col(at)).drop(k, part, tie, at)
 
 
 def edited(text: Column, following: Column) -> Column:

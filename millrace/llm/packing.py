@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import given_back, ids_by_chunk, pieces, quoted, remembered
+from .common import given_back, pieces, quoted, remembered
 
 #: Tokens of a sequence.
 ROOM = 4096
 #: Pieces of a group, about.
 GROUP_ROWS = 1 << 17
 #: Bytes that a worker remembers of parts of texts and their ids, about, while it packs; at more it forgets all.
-KNOWN_BYTES = 80 << 20
+KNOWN_BYTES = 96 << 20
 STEP_BYTES = 1 << 20
 
 
@@ -59,11 +59,13 @@ class Encoder:
         if self.size > KNOWN_BYTES:
             self.known, self.size = {}, 0
         new = list(set().union(*cut).difference(self.known))
-        for at in range(0, len(new), 256):
-            part = new[at : at + 256]
-            for w, ids in zip(part, ids_by_chunk(self.tokenizer, part, " ")):
-                self.known[w] = ids.astype("<u4").tobytes()
-                self.size += 160 + len(w) + len(self.known[w])  # two objects and their place in the dictionary
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
+            self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+            self.size += len(ids) + sum(map(len, part)) + 160 * len(part)  # two objects and their place in the dictionary
         whole = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         rest = (np.array(e.ids, "<u4").tobytes() for e in whole)
         return [b"".join(map(self.known.__getitem__, parts)) if p else next(rest) for parts, p in zip(cut, plain)]

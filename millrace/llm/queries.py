@@ -60,10 +60,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = fingerprints.with_next(docs, ["text"], "doc_id", "then")  # the texts alone are dealt: whole fingerprints are larger
-    both = both.withColumn("edited", fingerprints.edited(F.col("text"), F.col("then.text"))).withColumn("next_text", F.col("then.text"))
-    for name, text in (("fp", "text"), ("edited_fp", "edited"), ("next_fp", "next_text")):
-        both = fingerprints.fingerprinted(both, name, text)
+    own = lambda df: fingerprints.fingerprinted(df, "fp")  # noqa: E731  made where rows have come to: fingerprints are larger than texts
+    both = fingerprints.with_next(docs, ["text"], "doc_id", "then", after=own, more=["fp"])
+    both = both.withColumns({"edited": fingerprints.edited(F.col("text"), F.col("then.text")), "next_fp": F.col("then.fp")})
+    both = fingerprints.fingerprinted(both, "edited_fp", "edited")
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprints.written(F.col("fp")).alias("fingerprint"), fingerprints.written(F.col("edited_fp")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
