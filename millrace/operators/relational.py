@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import time_bucket
+from ..sources.ingest import q
 
 
 def order(key: Column, desc: bool = False, nulls_first: bool | None = None) -> Column:
@@ -38,42 +42,57 @@ def limit_per(df: DataFrame, n: int, per: list[str], keys: list[Column]) -> Data
     return df.withColumn("rank__", F.row_number().over(Window.partitionBy(*per).orderBy(*keys))).filter(F.col("rank__") <= n).drop("rank__")
 
 
-def latest(df: DataFrame, key: list[str], version: str, sequence: str | None = None) -> DataFrame:
-    """The newest row of each key."""
-    by = [F.col(version).desc_nulls_last(), *([F.col(sequence).desc()] if sequence else [])]
-    return limit_per(df, 1, key, by)
+def latest(df: DataFrame, key: list[str], version: str | None, sequence: Sequence[str] = ()) -> DataFrame:
+    """The newest row of each key: of the largest version, then of what was written last (the largest of `sequence`)."""
+    by = [F.col(version).desc_nulls_last()] if version else []
+    return limit_per(df, 1, key, by + [F.col(c).desc() for c in sequence])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
-    """Each left row with the columns of the right row of equal keys and the last time not after its own.
+def nearest_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, columns: list[str], how: str = "left") -> DataFrame:
+    """Each left row with the columns of the right row of equal keys and the last time not after its own. Null keys and null
+    times match nothing; left rows without a match stay, with nulls, unless `how` is inner.
 
     Both sides are laid in one order of time for each key, and the last right row is carried on: no pairs are made."""
-    base = left.select("*", F.lit(1).alias("side__"), F.col(left_time).alias("at__"))
-    other = right.select(*on, F.col(right_time).alias("at__"), F.lit(0).alias("side__"), F.struct(*columns).alias("match__"))
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in on], F.lit(True))
+    base = left.select("*", F.lit(1).alias("side__"), F.when(known, F.col(left_time)).alias("at__"))
+    # rows that can't match are dealt by themselves, so that many null keys aren't one task's
+    lone = F.when(~known | F.col(left_time).isNull(), F.monotonically_increasing_id())
+    base = base.withColumn("lone__", lone)
+    other = right.filter(known & F.col(right_time).isNotNull())
+    other = other.select(*on, F.col(right_time).alias("at__"), F.lit(0).alias("side__"), F.lit(None).cast("long").alias("lone__"), F.struct(*columns).alias("match__"))
     both = base.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("at__", "side__").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*on, "lone__").orderBy("at__", "side__").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("match__", F.last("match__", ignorenulls=True).over(w)).filter("side__ = 1")
+    out = out.filter("match__ is not null") if how == "inner" else out
     return out.select(*left.columns, *[F.col(f"match__.{c}").alias(c) for c in columns])
 
 
-def gap_filled(df: DataFrame, time: str, width_us: int, value: str, keys: list[str], fill: str = "zero") -> DataFrame:
-    """df has a row for each key and bucket; missing buckets between a key's first and last are filled: zero, previous or linear."""
-    spans = df.groupBy(*keys).agg(F.min(time).alias("a__"), F.max(time).alias("z__"))
+def gap_filled(df: DataFrame, time: str, width_us: int, value: str | list[str], keys: list[str], fill: str = "zero") -> DataFrame:
+    """df has a row for each key and bucket; missing buckets between a key's first and last are filled: zero, previous or linear.
+    Null keys are a key like others; rows without a time stay as they are."""
+    values = [value] if isinstance(value, str) else value
+    names = {c: f"{c}__of_gap" for c in [*keys, time]}
+    spans = df.filter(F.col(q(time)).isNotNull()).groupBy(*map(q, keys)).agg(F.min(q(time)).alias("a__"), F.max(q(time)).alias("z__"))
     step = F.expr(f"make_dt_interval(0, 0, 0, {width_us} / 1000000)")
-    spine = spans.select(*keys, F.explode(F.sequence("a__", "z__", step)).alias(time))
-    full = spine.join(df.select(*keys, time, value), [*keys, time], "left")
-    w = Window.partitionBy(*keys).orderBy(time)
+    spine = spans.select(*[F.col(q(k)).alias(names[k]) for k in keys], F.explode(F.sequence("a__", "z__", step)).alias(names[time]))
+    same = reduce(Column.__and__, [F.col(q(names[c])).eqNullSafe(F.col(q(c))) for c in names])
+    full = spine.join(df.select(*map(q, [*keys, time, *values])), same, "left").select(*[F.col(q(n)).alias(c) for c, n in names.items()], *map(q, values))
+    w = Window.partitionBy(*map(q, keys)).orderBy(q(time))
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    if fill == "zero":
-        filled = F.coalesce(F.col(value), F.lit(0))
-    elif fill == "previous":
-        filled = F.last(value, ignorenulls=True).over(before)
-    else:
-        t = F.unix_micros(time)
-        known = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).cast("double").alias("v")))
+    t = F.unix_micros(q(time))
+
+    def filled(c):
+        x = F.col(q(c))
+        if fill == "zero":
+            return F.coalesce(x, F.lit(0))
+        if fill == "previous":
+            return F.last(x, ignorenulls=True).over(before)
+        known = F.when(x.isNotNull(), F.struct(t.alias("t"), x.cast("double").alias("v")))
         a, b = F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after)
-        filled = F.coalesce(F.col(value).cast("double"), a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"]))
-    return full.select(*keys, time, filled.alias(value))
+        return F.coalesce(x.cast("double"), a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"]))
+
+    out = full.select(*map(q, [*keys, time]), *[filled(c).alias(c) for c in values])
+    return out.unionByName(df.filter(F.col(q(time)).isNull()).select(*[F.col(q(c)).cast(out.schema[c].dataType).alias(c) for c in out.columns]))
 
 
 def bucketed(df: DataFrame, time: str, width_us: int, keys: list[str], *aggregates: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,16 +57,25 @@ def patterns(df: DataFrame, text: Column) -> DataFrame:
 
 
 def trace(spans: DataFrame, trace_id: str, id_: str = "span_id", parent: str = "parent_span_id", start: str = "start_time", duration: str = "duration_ns") -> DataFrame:
-    """A trace's spans with depth, self_time (without its children's) and whether each lies on the critical path. One trace is small."""
+    """A trace's spans with depth, self_time (without its children's), ends_last (of its siblings) and on_critical_path: from the
+    root that ends last on, each time to the child that does. A span whose parent isn't there is a root. One trace is small."""
     rows = spans.filter(F.col("trace_id") == trace_id)
-    rows.createOrReplaceTempView("trace_spans")
-    tree = rows.sparkSession.sql(f"""WITH RECURSIVE t(id, depth) AS (SELECT {q(id_)}, 0 FROM trace_spans WHERE {q(parent)} IS NULL
-        UNION ALL SELECT s.{q(id_)}, t.depth + 1 FROM trace_spans s JOIN t ON s.{q(parent)} = t.id) SELECT * FROM t""")
+    end = F.unix_micros(F.col(q(start)).cast("timestamp")) * 1000 + F.col(q(duration))
+    there = rows.select(F.col(q(id_)).alias("there")).distinct()
+    links = rows.select(F.col(q(id_)).alias("id"), F.col(q(parent)).alias("of"), end.alias("end")).join(there, F.col("of") == F.col("there"), "left").select("id", F.col("there").alias("of"), "end")
+    last = F.row_number().over(Window.partitionBy("of").orderBy(F.col("end").desc(), "id")) == 1
+    view = f"trace_{uuid.uuid4().hex}"
+    links.select("id", "of", last.alias("ends_last")).createOrReplaceTempView(view)
+    try:
+        tree = rows.sparkSession.sql(f"""WITH RECURSIVE t(id, depth, critical) AS (SELECT id, 0, ends_last FROM {view} WHERE of IS NULL
+            UNION ALL SELECT s.id, t.depth + 1, t.critical AND s.ends_last FROM {view} s JOIN t ON s.of = t.id)
+            SELECT t.id, depth, critical, ends_last FROM t JOIN {view} v ON t.id = v.id""")
+    finally:
+        rows.sparkSession.catalog.dropTempView(view)
     child = rows.groupBy(F.col(q(parent)).alias("of")).agg(F.sum(q(duration)).alias("inside"))
-    end = F.unix_micros(F.col(q(start))) * 1000 + F.col(q(duration))
-    last = rows.withColumn("r", F.row_number().over(Window.partitionBy(q(parent)).orderBy(end.desc(), F.col(q(id_))))).select(F.col(q(id_)).alias("lid"), (F.col("r") == 1).alias("ends_last"))
-    out = rows.join(tree, rows[id_] == tree["id"]).join(child, rows[id_] == child["of"], "left").join(last, rows[id_] == last["lid"])
-    return out.select(*[rows[c] for c in rows.columns], "depth", F.greatest(F.col(q(duration)) - F.coalesce("inside", F.lit(0)), F.lit(0)).alias("self_time"), "ends_last")
+    out = rows.join(tree, rows[q(id_)] == tree["id"]).join(child, rows[q(id_)] == child["of"], "left")
+    own = F.greatest(F.col(q(duration)) - F.coalesce("inside", F.lit(0)), F.lit(0))
+    return out.select(*[rows[q(c)] for c in rows.columns], "depth", own.alias("self_time"), "ends_last", F.col("critical").alias("on_critical_path"))
 
 
 def service_graph(spans: DataFrame, service: str = "service.name") -> DataFrame:
@@ -72,14 +84,24 @@ def service_graph(spans: DataFrame, service: str = "service.name") -> DataFrame:
     return spans.join(up, ["trace_id", "parent_span_id"]).groupBy("caller", F.col(q(service)).alias("callee")).agg(F.count(F.lit(1)).alias("calls"), F.sum((F.col("status_code") == 1).cast("long")).alias("errors"), F.avg("duration_ns").alias("mean_ns"))
 
 
+def terms_of(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
+def bm25(df: DataFrame, text: Column, query: str, k1: float = 1.2, b: float = 0.75) -> tuple[Column, Column]:
+    """(score, whether a word of the query is there) of the rows of `df`. One pass over it counts its rows, words and holders."""
+    words = sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    terms = F.coalesce(terms_of(text), F.array().cast("array<string>"))
+    times = lambda w: F.size(F.filter(terms, lambda t: t == w))
+    n, mean, *holders = df.agg(F.count(text), F.avg(F.when(text.isNotNull(), F.size(terms))), *[F.count(F.when(times(w) > 0, 1)) for w in words]).first()
+    score = F.lit(0.0)
+    for w, h in zip(words, holders):
+        idf = math.log(1 + (n - h + 0.5) / (h + 0.5))
+        score = score + idf * times(w) * (k1 + 1) / (times(w) + k1 * (1 - b + b * F.size(terms) / F.lit(float(mean or 1))))
+    return score, F.arrays_overlap(terms, F.array(*map(F.lit, words)).cast("array<string>"))
+
+
 def matched(df: DataFrame, key: str, text: Column, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) by BM25 of the rows that hold a word of the query. Only the query's words leave a row."""
-    words = sorted(set(query.lower().split()))
-    terms = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    rows = df.select(F.col(q(key)).alias("key"), terms.alias("w")).select("key", F.size("w").alias("len"), F.filter("w", lambda w: w.isin(words)).alias("hits"))
-    n, mean = rows.agg(F.count(F.lit(1)), F.avg("len")).first()
-    hits = rows.select("key", "len", F.explode("hits").alias("word")).groupBy("key", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1)))
-    return hits.join(df_, "word").groupBy("key").agg(F.sum(score).alias("score"))
+    """(key, score) by BM25 of the rows that hold a word of the query."""
+    score, hit = bm25(df, text, query, k1, b)
+    return df.filter(hit).select(F.col(q(key)).alias("key"), score.alias("score"))

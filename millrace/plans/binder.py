@@ -16,6 +16,7 @@ from ..operators import relational
 from ..sources import ingest
 from ..sources.catalog import Store
 from ..sources.ingest import SUFFIX, q
+from . import analysis
 from .parser import parse
 
 #: The spellings of types.
@@ -125,6 +126,8 @@ def literal(text: str) -> Typed:
 class Binder:
     def __init__(self, engine: Engine, context: Context):
         self.engine, self.context = engine, context
+        self.variables: dict[str, Typed] = {}  # of the functions that stand around
+        self.score: Column | None = None  # of the rows that MATCH has found
 
     # expressions
 
@@ -177,6 +180,8 @@ class Binder:
         raise DialectError("an interval stands only in time_bucket")
 
     def on_col(self, e, scope, found):
+        if len(e[1]) == 1 and e[1][0] in self.variables:
+            return self.variables[e[1][0]]
         if found is not None:
             raise DialectError(f"column {'.'.join(e[1])} is neither grouped nor in an aggregate")
         if scope is None:
@@ -301,8 +306,61 @@ class Binder:
             raise DialectError("lists aren't cast")
         return Typed(x.col.cast(kind) if x.kind is None else exprs.cast(x.col, x.kind, kind), kind)
 
+    def on_items(self, e, scope, found):
+        values, kind = [self.bind(x, scope, found) for x in e[1]], None
+        for v in values:
+            kind = common(kind, v.kind)
+        if isinstance(kind, T.ArrayType):
+            raise DialectError("a list of lists")
+        return Typed(F.array(*[v.col.cast(kind or STRING) for v in values]).cast(T.ArrayType(kind or STRING)), T.ArrayType(kind or STRING))
+
+    def on_lambda(self, e, scope, found):
+        raise DialectError("a function stands only in list_map and list_filter")
+
+    def over_list(self, name: str, args: list, scope, found) -> Typed:
+        """list_map(xs, x -> expression), list_filter(xs, x -> condition)"""
+        xs = self.bind(args[0], scope, found)
+        if not isinstance(xs.kind, T.ArrayType) or args[1][0] != "lambda":
+            raise DialectError(f"{name} needs a list and a function")
+        _, variable, body = args[1]
+        around, kinds = dict(self.variables), []
+
+        def f(x: Column) -> Column:
+            self.variables = around | {variable: Typed(x, xs.kind.elementType)}
+            try:
+                out = self.bind(body, scope, found)
+            finally:
+                self.variables = around
+            kinds.append(out.kind or STRING)
+            return out.col.cast(kinds[-1])
+
+        if name == "list_map":
+            col = F.transform(xs.col, f)
+            if isinstance(kinds[-1], T.ArrayType):
+                raise DialectError("a list of lists")
+            return Typed(col, T.ArrayType(kinds[-1]))
+        col = F.filter(xs.col, f)
+        if not isinstance(kinds[-1], T.BooleanType):
+            raise DialectError("list_filter needs a condition")
+        return Typed(col, xs.kind)
+
+    def matched(self, args: list, scope) -> Typed:
+        """Whether a text holds a word of the query; score() is by BM25, of statistics read over the table when the statement is bound."""
+        if len(args) != 2 or args[1][0] != "str" or scope is None:
+            raise DialectError("MATCH needs a column and a literal query")
+        self.score, hit = analysis.bm25(scope.df, self.text(args[0], scope, None), args[1][1])
+        return Typed(hit, BOOL)
+
     def on_call(self, e, scope, found):
         _, name, args, _, _ = e
+        if name in ("list_map", "list_filter") and len(args) == 2:
+            return self.over_list(name, args, scope, found)
+        if name == "match":
+            return self.matched(args, scope)
+        if name == "score" and not args:
+            if self.score is None or found is not None:
+                raise DialectError("score() needs MATCH in WHERE, without groups")
+            return Typed(self.score, FLOAT)
         if name in AGGREGATES:
             raise DialectError(f"aggregate {name} has no place here")
         bind = lambda i: self.bind(args[i], scope, found)
@@ -318,6 +376,13 @@ class Binder:
             if not isinstance(pattern, str):
                 raise DialectError(f"{name} needs a literal pattern")
             return Typed(exprs.regexp_match(self.text(args[0], scope, found), pattern), BOOL)
+        if name == "unnest":
+            raise DialectError("unnest stands only by itself in SELECT")
+        if name == "in_network" and n == 2:
+            ip, network = bind(0), bind(1).literal
+            if not isinstance(ip.kind, T.BinaryType) or not isinstance(network, str):
+                raise DialectError("in_network needs an address and a literal network")
+            return Typed(exprs.in_network(ip.col, network), BOOL)
         if name == "date_trunc" and n == 2:
             return Typed(exprs.date_trunc(bind(0).literal, bind(1).col), T.TimestampType())
         if name == "date_part" and n == 2:
@@ -378,10 +443,12 @@ class Binder:
     def source(self, t: tuple | None, ctes: dict) -> Scope:
         if t is None:
             return Scope(self.engine.spark.range(1).select(), [])
-        if t[0] == "join":
-            return self.join(t, ctes)
+        if t[0] in ("join", "nearest"):
+            return (self.join if t[0] == "join" else self.nearest)(t, ctes)
         if t[0] == "sub":
             df, alias = self.query(t[1], ctes), t[2]
+        elif t[0] == "file":
+            df, alias = ingest.files(self.engine.spark, t[1]), t[2]
         else:
             _, name, alias, version = t
             df = self.query(*ctes[name]) if name in ctes else self.engine.table(name, version)
@@ -416,6 +483,33 @@ class Binder:
             raise DialectError("a join needs an equality between its sides")
         return Scope(left.df.join(right.df, self.truth(on, both), how), both.columns)
 
+    def nearest(self, t: tuple, ctes: dict) -> Scope:
+        """ON equalities AND one comparison of times: the left's is at or after the right's."""
+        _, how, lt, rt, on = t
+        left, right = self.source(lt, ctes), self.source(rt, ctes)
+        both = Scope(None, left.columns + right.columns)
+        if {c[0] for c in left.columns} & {c[0] for c in right.columns}:
+            raise DialectError("a table alias is used twice")
+        keys, times = [], []
+        for c in self.conjuncts(on):
+            if c[0] != "cmp" or c[1] not in ("=", ">=", "<=") or c[2][0] != "col" or c[3][0] != "col":
+                raise DialectError("NEAREST JOIN takes comparisons of columns")
+            pair, op = [both.find(c[2][1]), both.find(c[3][1])], c[1]
+            if pair[0] not in left.columns:
+                pair, op = pair[::-1], {"=": "=", ">=": "<=", "<=": ">="}[op]
+            if pair[0] not in left.columns or pair[1] not in right.columns or op == "<=":
+                raise DialectError("NEAREST JOIN needs a time of the left side at or after one of the right side")
+            (keys if op == "=" else times).append(pair)
+        if not keys or len(times) != 1:
+            raise DialectError("NEAREST JOIN needs an equality and one comparison of times")
+        names = [f"k{i}__" for i in range(len(keys))]
+        kinds = [common(a[3], b[3]) for a, b in keys]
+        ends = common(*[x[3] for x in times[0]])
+        one = left.df.select("*", *[F.col(a[2]).cast(k).alias(n) for (a, _), k, n in zip(keys, kinds, names)], F.col(times[0][0][2]).cast(ends).alias("t__"))
+        two = right.df.select("*", *[F.col(b[2]).cast(k).alias(n) for (_, b), k, n in zip(keys, kinds, names)], F.col(times[0][1][2]).cast(ends).alias("u__"))
+        out = relational.nearest_join(one, two, names, "t__", "u__", [c[2] for c in right.columns], how)
+        return Scope(out.drop(*names, "t__"), both.columns)
+
     # queries
 
     def query(self, e: tuple, outer: dict | None = None) -> DataFrame:
@@ -466,6 +560,7 @@ class Binder:
     def core(self, e: tuple, ctes: dict, order: list, limit, offset, per) -> DataFrame:
         _, distinct, items, source, where, group, having = e
         scope = self.source(source, ctes)
+        self.score = None
         if where is not None:
             scope.df = scope.df.filter(self.truth(where, scope))
         shown: list[tuple[tuple, str]] = []
@@ -475,11 +570,16 @@ class Binder:
                 continue
             if source is None:
                 raise DialectError("* without FROM")
-            stars = [c for c in scope.columns if it[1] in (None, c[0]) and c[1] not in it[2]]
+            under = lambda name, path: name == path or path.endswith(".*") and name.startswith(path[:-1])
+            stars = [c for c in scope.columns if it[1] in (None, c[0]) or under(c[1], f"{it[1]}.*") or under(f"{c[0]}.{c[1]}", f"{it[1]}.*")]
+            stars = [c for c in stars if not any(under(c[1], x) for x in it[2])]
             if not stars:
                 raise DialectError("* without columns")
             shown += [(("col", [c[0], c[1]]), c[1]) for c in stars]
         aliases = {n: x for x, n in shown}
+        filling = None
+        if isinstance(group, tuple):
+            _, filling, group = group
         calls: dict[str, tuple] = {}
         self.aggregates([x for x, _ in shown] + [o[0] for o in order] + [having], calls)
         if group == "all":
@@ -488,11 +588,23 @@ class Binder:
         if calls or group:
             keys = [self.grouping(g, shown, aliases, scope) for g in group or []]
             df, found = self.grouped(scope, keys, list(calls.values()))
+            if filling:
+                df = self.filled(df, keys, [found[repr(c)] for c in calls.values()], filling)
             if having is not None:
                 df = df.filter(self.truth(having, scope, found))
         elif having is not None:
             raise DialectError("HAVING without groups or aggregates")
-        values = [self.bind(x, scope, found) for x, _ in shown]
+        values, lists = [], []
+        for x, _ in shown:
+            if x[0] == "call" and x[1] == "unnest" and len(x[2]) == 1:
+                xs = self.bind(x[2][0], scope, found)
+                if not isinstance(xs.kind, T.ArrayType) or lists or distinct or per:
+                    raise DialectError("unnest needs a list, once in a SELECT")
+                lists.append(xs)
+                df = df.withColumn("u__", F.explode(xs.col))
+                values.append(Typed(F.col("u__"), xs.kind.elementType))
+            else:
+                values.append(self.bind(x, scope, found))
         names = self.unique([n for _, n in shown])
         inner = [f"o{i}" for i in range(len(names))]
         result = [v.col.cast(STRING).alias(i) if v.kind is None else v.col.alias(i) for v, i in zip(values, inner)]
@@ -559,6 +671,22 @@ class Binder:
                 found[repr(("col", [c]))] = found[repr(("col", [a, c]))] = found[repr(k)]
         return out, found
 
+    @staticmethod
+    def filled(df: DataFrame, keys: list[tuple], aggregates: list[Typed], how: str) -> DataFrame:
+        """The groups with rows for the buckets of time that lack one, between the first and the last of the other keys' values."""
+        times = [i for i, k in enumerate(keys) if k[0] == "call" and k[1] == "time_bucket"]
+        if len(times) != 1:
+            raise DialectError("FILL needs one time_bucket among the groups")
+        if not all(isinstance(a.kind, NUMBERS) for a in aggregates):
+            raise DialectError("FILL needs aggregates that are numbers")
+        names = [f"a{i}" for i in range(len(aggregates))]
+        width = exprs.interval_us(keys[times[0]][2][0][1])
+        others = [f"g{i}" for i in range(len(keys)) if i not in times]
+        if how == "linear":
+            for a in aggregates:
+                a.kind = FLOAT
+        return relational.gap_filled(df, f"g{times[0]}", width, names, others, how)
+
     def aggregate(self, call: tuple, scope: Scope, df: DataFrame, keys: list[str]) -> tuple[Column | None, DataFrame | None, T.DataType]:
         _, name, args, distinct, where = call
         cond = None if where is None else self.truth(where, scope)
@@ -618,7 +746,6 @@ class Engine:
     """Statements over a store's tables, and over frames registered by name."""
 
     def __init__(self, spark: SparkSession, store: Store | str | None = None):
-        spark.conf.set("spark.sql.caseSensitive", "true")
         self.spark, self.frames = spark, {}
         self.store = Store(spark, store) if isinstance(store, str) else store
 
@@ -634,12 +761,17 @@ class Engine:
         return self.store.read(name, version)
 
     def execute(self, sql: str, now: datetime.datetime | None = None) -> Result:
-        """Runs the statements in order and returns the last one's result."""
-        out = Result()
-        for s in parse(sql):
-            context = Context(**({"now": now} if now else {}))
-            out = getattr(self, "do_" + s[0].replace(" ", "_"))(s, Binder(self, context))
-            out.warnings = context.warnings
+        """Runs the statements in order and returns the last one's result. Names are told apart by case meanwhile, whatever the
+        session does."""
+        out, was = Result(), self.spark.conf.get("spark.sql.caseSensitive")
+        self.spark.conf.set("spark.sql.caseSensitive", "true")
+        try:
+            for s in parse(sql):
+                context = Context(**({"now": now} if now else {}))
+                out = getattr(self, "do_" + s[0].replace(" ", "_"))(s, Binder(self, context))
+                out.warnings = context.warnings
+        finally:
+            self.spark.conf.set("spark.sql.caseSensitive", was)
         return out
 
     def sql(self, sql: str) -> DataFrame:
@@ -652,6 +784,17 @@ class Engine:
         plan = b.query(s[1])._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return Result(self.spark.createDataFrame([(line,) for line in plan.split("\n")], "plan string"))
 
+    def do_explain_alter(self, s, b):
+        """What a change would touch, before it is made."""
+        kind, name, *rest = s[1]
+        name = name.removeprefix("main.")
+        names = self.store.schema(name).names
+        for c in rest[0] if kind == "order by" else rest[:1] if kind != "add" else []:
+            if c not in names:
+                raise DialectError(f"no such column: {c}")
+        cost = self.store.explain_alter(name, kind == "order by")
+        return Result(self.spark.createDataFrame([(kind, *cost.values())], "change string, " + ", ".join(f"{k} long" for k in cost)))
+
     def do_begin(self, s, b):
         self.store.begin()
         return Result()
@@ -787,13 +930,11 @@ class Engine:
         else:
             if any(len(r) != len(columns) for r in rows):
                 raise DialectError("INSERT of another number of values")
-            one = self.spark.range(1)
-            df = None
+            lines = []
             for r in rows:
                 values = [b.bind(v, None) for v in r]
-                part = [self.fit(v.col, v.kind, n, schema) for v, n in zip(values, columns)]
-                line = one.select(*[c for p in part for c in p])
-                df = line if df is None else df.unionByName(line)
+                lines.append(F.struct(*[c for v, n in zip(values, columns) for c in self.fit(v.col, v.kind, n, schema)]))
+            df = self.spark.range(1).select(F.explode(F.array(*lines)).alias("x")).select("x.*")
             return Result(count=self.store.insert(name, df))
         return Result(count=self.store.insert(name, df.select(*[c for p in fitted for c in p])))
 
@@ -825,7 +966,7 @@ class Engine:
             if v.kind is None:
                 raise DialectError("delete compares with NULL")
             value = v.literal if v.literal is not None else self.spark.range(1).select(v.col.cast(STRING)).first()[0]
-            where.append((c[2][1][-1], c[1], float(value) if isinstance(value, decimal.Decimal) else value))
+            where.append((c[2][1][-1], c[1], value))
         return Result(count=self.store.delete(s[1].removeprefix("main."), where))
 
     def do_copy(self, s, b):

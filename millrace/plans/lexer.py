@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from ..functions.exprs import DialectError
 
-PATTERN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<num>(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)|(?P<str>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*")|(?P<name>[A-Za-z_]\w*)|(?P<op>\|\||::|<>|!=|<=|>=|[-+*/%=<>(),.;\[\]])""", re.S)
+PATTERN = re.compile(r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<num>(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)|(?P<str>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*")|(?P<name>[A-Za-z_]\w*)|(?P<op>\|\||::|->|<>|!=|<=|>=|[-+*/%=<>(),.;\[\]])""", re.S)
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,27 @@ from .plans.binder import Engine
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Hours between the first and last of each kind of event, with what they hold; the statement's own column is put in.
+GAPS = """WITH p AS (SELECT event_type, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-03') AS b, count(*) AS n, max(event_id) AS m FROM events WHERE value > 95 GROUP BY 1, 2),
+s AS (SELECT event_type, unnest(generate_series(min(b), max(b), INTERVAL '1 hour')) AS b FROM p GROUP BY 1),
+f AS (SELECT event_type, b, n, m FROM s LEFT JOIN p USING (event_type, b)) SELECT event_type, b, {} FROM f"""
+LINES = """WITH p AS (SELECT event_type, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-03') AS b, CAST(count(*) AS DOUBLE) AS n FROM events WHERE value > 95 GROUP BY 1, 2),
+s AS (SELECT event_type, unnest(generate_series(min(b), max(b), INTERVAL '1 hour')) AS b FROM p GROUP BY 1)
+SELECT s.event_type, s.b, coalesce(p.n, x.n + (z.n - x.n) * (epoch_us(s.b) - epoch_us(x.b)) / (epoch_us(z.b) - epoch_us(x.b))) AS n FROM s LEFT JOIN p ON p.event_type = s.event_type AND p.b = s.b
+ASOF JOIN p AS x ON x.event_type = s.event_type AND x.b <= s.b ASOF JOIN p AS z ON z.event_type = s.event_type AND z.b >= s.b"""
 #: (name, statement of the dialect, SQL of the oracle; none: the same).
 STATEMENTS = [
+    ("fill_zero", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS b, count(*) AS n FROM events WHERE value > 95 GROUP BY event_type, time_bucket(INTERVAL '1 hour', ts) FILL 0", GAPS.format("coalesce(n, 0) AS n")),
+    ("fill_previous", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS b, max(event_id) AS n FROM events WHERE value > 95 GROUP BY 1, 2 FILL previous", GAPS.format("last_value(m IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY b) AS n")),
+    ("fill_linear", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS b, count(*) AS n FROM events WHERE value > 95 GROUP BY 1, 2 FILL linear", LINES),
+    ("nearest_join_sql", "SELECT p.event_id, e.event_id AS prior FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') AS p LEFT NEAREST JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts) AS e ON p.user_id = e.user_id AND p.ts >= e.ts", "SELECT p.event_id, e.event_id AS prior FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts) AS e ON p.user_id = e.user_id AND p.ts >= e.ts"),
+    ("nearest_join_nulls", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT c_custkey, c_acctbal AS x, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS k FROM customer) AS c NEAREST JOIN (SELECT min(s_suppkey) AS s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal END AS y, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS k FROM supplier GROUP BY 2, 3) AS s ON c.k = s.k AND c.x >= s.y", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM (SELECT c_custkey, c_acctbal AS x, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS k FROM customer) WHERE k IS NOT NULL) AS c ASOF JOIN (SELECT min(s_suppkey) AS s_suppkey, s_acctbal AS y, s_nationkey AS k FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 4 <> 0 GROUP BY 2, 3) AS s ON c.k = s.k AND c.x >= s.y"),
+    ("list_functions", "SELECT o_custkey, list_filter(list_map(xs, x -> x % 10 * 2), y -> y > 6 AND y <> o_custkey % 10) AS ys FROM (SELECT o_custkey, list(o_orderkey) AS xs FROM orders WHERE o_orderkey < 400 AND o_orderkey % 7 = 0 GROUP BY o_custkey HAVING count(*) = 1) AS l", "SELECT o_custkey, list_filter(list_transform(list(o_orderkey), lambda x: x % 10 * 2), lambda y: y > 6 AND y <> o_custkey % 10) AS ys FROM orders WHERE o_orderkey < 400 AND o_orderkey % 7 = 0 GROUP BY o_custkey HAVING count(*) = 1"),
+    ("unnest_list", "SELECT n_regionkey, unnest([n_nationkey, n_nationkey + 100, NULL]) AS x FROM nation", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, unnest([CAST(n_nationkey AS BIGINT), n_nationkey + 100, NULL]) AS x FROM nation"),
+    ("match_score", "SELECT item_id, CAST(score() * 1000000 AS BIGINT) AS s FROM benchmark WHERE MATCH(text, 'the of') AND item_id > 3", "WITH w AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark), m AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), h AS (SELECT item_id, len(w) AS l, word, len(list_filter(w, lambda x: x = word)) AS tf FROM w, (VALUES ('the'), ('of')) AS q(word)), d AS (SELECT word, count(*) AS df FROM h WHERE tf > 0 GROUP BY word) SELECT item_id, CAST(round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) * 1000000) AS BIGINT) AS s FROM h JOIN d USING (word), m WHERE tf > 0 AND item_id > 3 GROUP BY item_id"),
+    ("agg_avg", "SELECT l_returnflag, avg(l_linenumber) AS a, avg(CAST(l_quantity AS DECIMAL(12,2))) AS q, approx_count_distinct(l_linestatus) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) AS DOUBLE) / count(*) AS a, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) / count(*) AS q, count(DISTINCT l_linestatus) AS d FROM lineitem GROUP BY l_returnflag"),
+    ("unary_text", "SELECT o_orderkey, -o_custkey AS a, +o_orderkey AS b, - -5 AS c, o_custkey::string AS t FROM orders WHERE -o_custkey < -50", "SELECT o_orderkey, -o_custkey AS a, o_orderkey AS b, CAST(5 AS BIGINT) AS c, CAST(NULL AS VARCHAR) AS t FROM orders WHERE o_custkey > 50"),
+    ("windows_sql", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM events", "SELECT event_id, row_number() OVER w AS r, lag(event_id) OVER w AS p, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
     ("scan_filter_project", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 5 AND 20 AND p_name ILIKE '%a%' AND p_brand IN ('Brand#1', 'Brand#11', 'Brand#12', 'Brand#23', 'Brand#3')", "SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size BETWEEN 5 AND 20 AND p_name ILIKE '%a%' AND p_brand IN ('Brand#1', 'Brand#11', 'Brand#12', 'Brand#23', 'Brand#3')"),
     ("like_not", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT c_mktsegment LIKE 'A%' AND c_acctbal > 100", None),
     ("agg_multi", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty, min(l_shipdate) AS a, max(l_shipdate) AS z, count(DISTINCT l_suppkey) AS supps FROM lineitem GROUP BY l_returnflag, l_linestatus", None),
@@ -58,15 +78,11 @@ STATEMENTS = [
 
 
 def statement(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    was = spark.conf.get("spark.sql.caseSensitive")
     engine = Engine(spark)
-    try:
-        for t in TABLES:
-            if f" {t}" in sql or f"({t}" in sql:
-                engine.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        return engine.sql(sql)
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", was)
+    for t in TABLES:
+        if f" {t}" in sql or f"({t}" in sql:
+            engine.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    return engine.sql(sql)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,7 +147,74 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.row_number().over(w).cast("long").alias("r"), F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"), F.count(F.lit(1)).over(w.rowsBetween(-2, 0)).alias("near"))
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark).sql(f"FROM '{sf_dir}/natio*.parquet' AS n SELECT n_regionkey, count(*) AS n, max(n_name) AS last GROUP BY n_regionkey")
+
+
+def folder_of(spark: SparkSession) -> str:
+    """A new folder for a store of a query: below the session's checkpoint folder, where there is one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "").removeprefix("file://")
+    return tempfile.mkdtemp(prefix="store-", dir=shared or None)
+
+
+def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest row of a key without VERSION, and of ties of it: what was written last."""
+    e = Engine(spark, folder_of(spark))
+    e.register("events", read(spark, sf_dir, "events"))
+    for name, version in (("plain", ""), ("tied", " VERSION (v)")):
+        e.execute(f"CREATE TABLE {name} (u BIGINT, v BIGINT, e BIGINT) ENGINE = latest KEY (u){version}")
+        for i in range(3):
+            e.execute(f"INSERT INTO {name} SELECT user_id, 1 AS v, max(event_id) AS e FROM events WHERE event_id % 3 = {(i + 1) % 3} GROUP BY user_id")
+    return e.sql("SELECT p.u, p.e AS plain, t.e AS tied FROM plain AS p JOIN tied AS t ON p.u = t.u")
+
+
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes that compare decimals, which no double holds."""
+    e = Engine(spark, folder_of(spark))
+    e.register("orders", read(spark, sf_dir, "orders"))
+    e.execute("CREATE TABLE o (k BIGINT, d DECIMAL(38,4))")
+    e.execute("INSERT INTO o SELECT o_orderkey, 123456789012345678.91 + o_orderkey * 0.0001 AS d FROM orders")
+    e.execute("DELETE FROM o WHERE d <= 123456789012345678.9200; DELETE FROM o WHERE d = 123456789012345678.9303")
+    return e.sql("SELECT count(*) AS n, min(k) AS lo, count(*) FILTER (WHERE k = 203) AS gone FROM o")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as spans: an order is a trace, its lines a tree in which line n hangs on line n / 2; line 5's parent isn't there."""
+    line = F.col("l_linenumber").cast("long")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("trace_id"), line.cast("string").alias("span_id"),
+        F.when(line == 5, "lost").when(line > 1, F.floor(line / 2).cast("string")).alias("parent_span_id"), F.col("l_returnflag").alias("service.name"),
+        F.col("l_shipdate").alias("start_time"), F.col("l_quantity").cast("long").alias("duration_ns"), (line % 3).alias("status_code"),
+    )
+
+
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.trace(spans(spark, sf_dir), "7").select("span_id", F.col("depth").cast("long").alias("depth"), "self_time", "on_critical_path")
+
+
+def service_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.service_graph(spans(spark, sf_dir)).select("caller", "callee", "calls", "errors")
+
+
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").withColumn("price", F.round(F.col("o_totalprice")))
+    out = analysis.compare_runs(o, "o_orderstatus", "F", "O", F.col("price"), ["o_orderpriority"])
+    return out.select("column", "value", "before", "after", *[F.round(c, 6).alias(c) for c in ("contribution", "mix", "rate")], "support")
+
+
+def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.profile(read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey"))
+    return out.select("column", "type", "present", "presence", "least", "most", "rows", F.array_join("top_values", ",").alias("top_values"))
+
+
 FUNCTIONS = {
+    files: "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n, max(n_name) AS last FROM nation GROUP BY 1",
+    store_latest: "SELECT user_id AS u, coalesce(max(event_id) FILTER (WHERE event_id % 3 = 0), max(event_id) FILTER (WHERE event_id % 3 = 2), max(event_id)) AS plain, coalesce(max(event_id) FILTER (WHERE event_id % 3 = 0), max(event_id) FILTER (WHERE event_id % 3 = 2), max(event_id)) AS tied FROM events GROUP BY user_id",
+    store_delete: "SELECT count(*) AS n, min(o_orderkey) AS lo, count(*) FILTER (WHERE o_orderkey = 203) AS gone FROM orders WHERE o_orderkey > 100 AND o_orderkey <> 203",
+    trace: "WITH RECURSIVE s AS (SELECT l_linenumber AS id, CASE WHEN l_linenumber IN (1, 5) THEN NULL ELSE l_linenumber // 2 END AS up, epoch_us(l_shipdate) * 1000 + CAST(l_quantity AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS d FROM lineitem WHERE l_orderkey = 7), f AS (SELECT id, d, CASE WHEN up IN (SELECT id FROM s) THEN up END AS up, e FROM s), l AS (SELECT *, row_number() OVER (PARTITION BY up ORDER BY e DESC, CAST(id AS VARCHAR)) = 1 AS last FROM f), t AS (SELECT id, 0 AS depth, last AS crit FROM l WHERE up IS NULL UNION ALL SELECT l.id, t.depth + 1, t.crit AND l.last FROM l JOIN t ON l.up = t.id) SELECT CAST(t.id AS VARCHAR) AS span_id, CAST(depth AS BIGINT) AS depth, greatest(f.d - coalesce((SELECT sum(c.d) FROM f AS c WHERE c.up = t.id), 0), 0)::BIGINT AS self_time, crit AS on_critical_path FROM t JOIN f ON f.id = t.id",
+    service_graph: "SELECT a.l_returnflag AS caller, b.l_returnflag AS callee, count(*) AS calls, count(*) FILTER (WHERE b.l_linenumber % 3 = 1) AS errors FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > 1 AND b.l_linenumber <> 5 AND a.l_linenumber = b.l_linenumber // 2 GROUP BY 1, 2",
+    compare_runs: "WITH g AS (SELECT o_orderpriority AS value, coalesce(sum(round(o_totalprice)) FILTER (WHERE o_orderstatus = 'F'), 0) AS b, coalesce(sum(round(o_totalprice)) FILTER (WHERE o_orderstatus = 'O'), 0) AS a, count(*) FILTER (WHERE o_orderstatus = 'F') AS n0, count(*) FILTER (WHERE o_orderstatus = 'O') AS n1 FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1) SELECT 'o_orderpriority' AS \"column\", value, b AS before, a AS after, round((a - b) / sum(a - b) OVER (), 6) AS contribution, round((n1 - n0) * (b / greatest(n0, 1)), 6) AS mix, round((a / greatest(n1, 1) - b / greatest(n0, 1)) * n1, 6) AS rate, n0 + n1 AS support FROM g",
+    profile_orders: "WITH v AS (SELECT 'o_orderstatus' AS c, 'string' AS t, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', 'string', o_orderpriority FROM orders UNION ALL SELECT 'o_custkey', 'bigint', CAST(o_custkey AS VARCHAR) FROM orders), n AS (SELECT c, v, count(*) AS n, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS r FROM v WHERE v IS NOT NULL GROUP BY c, v) SELECT c AS \"column\", any_value(t) AS type, count(v) AS present, count(v) / count(*) AS presence, CASE WHEN c = 'o_custkey' THEN CAST(min(TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE min(v) END AS least, CASE WHEN c = 'o_custkey' THEN CAST(max(TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE max(v) END AS most, count(*) AS \"rows\", (SELECT string_agg(n.v, ',' ORDER BY r) FROM n WHERE n.c = v.c AND r <= 5) AS top_values FROM v GROUP BY c",
     flagship: "SELECT l_suppkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty, count(DISTINCT l_partkey) AS parts FROM lineitem WHERE l_quantity > 5 GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 10",
     nearest_join: "SELECT p.event_id, p.user_id, p.ts, arg_max(e.prior_id, e.at) AS prior_id FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT user_id, ts AS at, max(event_id) AS prior_id FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2) e ON e.user_id = p.user_id AND e.at <= p.ts GROUP BY 1, 2, 3",
     gap_fill: "WITH p AS (SELECT event_type, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2000-01-03') AS bucket, count(*) AS n FROM events WHERE value > 80 GROUP BY 1, 2), s AS (SELECT event_type, unnest(generate_series(min(bucket), max(bucket), INTERVAL '1 day')) AS bucket FROM p GROUP BY 1) SELECT s.event_type, s.bucket, coalesce(p.n, 0) AS n FROM s LEFT JOIN p USING (event_type, bucket)",

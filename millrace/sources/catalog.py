@@ -7,6 +7,7 @@ tombstone that reads apply to older segments. Every snapshot stays readable unti
 from __future__ import annotations
 
 import copy
+import decimal
 import json
 import os
 import shutil
@@ -199,7 +200,7 @@ class Store:
     def explain_alter(self, name: str, rewrites: bool) -> dict:
         """What a change touches: only a new order writes segments anew."""
         t = self._table(self.snapshot(), name)
-        size = sum(os.path.getsize(os.path.join(d, f)) for s in t["segments"] for d, _, fs in os.walk(f"{self.path}/data/{s['path']}") for f in fs)
+        size = sum(map(self._bytes, t["segments"]))
         return {"segments": len(t["segments"]), "rewrites": len(t["segments"]) if rewrites else 0, "rewrite_bytes": size if rewrites else 0}
 
     # rows
@@ -233,7 +234,10 @@ class Store:
     def delete(self, name: str, where: list[tuple[str, str, object]] = ()) -> int:
         """Deletes rows for which all (column, operator, value) hold; returns how many. A comparison with null holds for none."""
         t = self._table(self.snapshot(), name)
-        named = [{"field": self._field(t, c)["id"], "op": op, "value": v} for c, op, v in where]
+        named = [
+            {"field": self._field(t, c)["id"], "op": op} | ({"value": str(v), "decimal": True} if isinstance(v, decimal.Decimal) else {"value": v})
+            for c, op, v in where
+        ]
         if any(p["value"] is None for p in named):
             raise DialectError("delete compares with NULL")
         hit = self.read(name, raw=True).filter(self._holds(t, named)).count()
@@ -242,45 +246,98 @@ class Store:
 
     @staticmethod
     def _holds(t: dict, where: list[dict]) -> Column:
+        """Numbers of the log are text where they are decimals, which JSON would round."""
         out = F.lit(True)
         kinds = {f["id"]: T._parse_datatype_json_string(json.dumps(f["type"])) for f in t["fields"]}
         for p in where:
-            out = out & getattr(F.col(f"f{p['field']}"), OPERATORS[p["op"]])(F.lit(p["value"]).cast(kinds[p["field"]]))
+            kind, value = kinds[p["field"]], F.lit(p["value"])
+            if p.get("decimal") and not isinstance(kind, T.DoubleType):
+                value = F.lit(decimal.Decimal(p["value"]))
+            else:
+                value = value.cast(kind)
+            out = out & getattr(F.col(f"f{p['field']}"), OPERATORS[p["op"]])(value)
         return F.coalesce(out, F.lit(False))
 
     def read(self, name: str, version: int | None = None, raw: bool = False) -> DataFrame:
-        """The table at a version (the newest): one scan for segments that the same deletes concern. raw: field ids as names."""
+        """The table at a version (the newest): one scan for segments that the same deletes concern. raw: field ids as names,
+        and all rows of an engine that has several of a key."""
         t = self._table(self.snapshot(version), name)
         fields = [T.StructField(f"f{f['id']}", T._parse_datatype_json_string(json.dumps(f["type"]))) for f in t["fields"]]
         groups: dict[int, list[dict]] = {}
         for s in t["segments"]:
             groups.setdefault(sum(x["seq"] > s["seq"] for x in t["tombstones"]), []).append(s)
+        newest = t["spec"]["engine"] == "latest" and not raw
         out = None
         for n, segments in groups.items():
             part = self.spark.read.schema(T.StructType(fields)).parquet(*[f"{self.path}/data/{s['path']}" for s in segments])
+            if newest:  # which commit wrote a row, and where it stands in its file
+                commits = F.create_map(*[F.lit(x) for s in segments for x in (s["path"].split("/")[-1], s["seq"])])
+                folder = F.regexp_extract("_metadata.file_path", "/([0-9a-f]{32})/[^/]*$", 1)
+                part = part.select("*", F.element_at(commits, folder).alias("commit__"), F.col("_metadata.row_index").alias("row__"))
             for x in t["tombstones"][len(t["tombstones"]) - n :]:
                 part = part.filter(~self._holds(t, x["where"]))
             out = part if out is None else out.unionByName(part)
         if out is None:
-            out = self.spark.createDataFrame([], T.StructType(fields))
+            out = self.spark.createDataFrame([], T.StructType([*fields, *([T.StructField(c, T.LongType()) for c in ("commit__", "row__")] if newest else [])]))
         if raw:
             return out
-        out = out.select(*[F.col(f"f{f['id']}").alias(f["name"]) for f in t["fields"]])
-        if t["spec"]["engine"] == "latest":
+        if newest:
             from ..operators.relational import latest
 
-            out = latest(out, t["spec"]["key"], t["spec"].get("version") or t["spec"]["key"][0])
-        return out
+            inner = {f["name"]: f"f{f['id']}" for f in t["fields"]}
+            version_ = t["spec"].get("version")
+            out = latest(out, [inner[c] for c in t["spec"]["key"]], inner[version_] if version_ else None, ["commit__", "row__"])
+        return out.select(*[F.col(f"f{f['id']}").alias(f["name"]) for f in t["fields"]])
 
     # upkeep
 
-    def compact(self, name: str, least: int = 4, files: int = 1) -> bool:
-        """Writes the table's segments, deletes applied, as one."""
+    def _bytes(self, segment: dict) -> int:
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{self.path}/data/{segment['path']}") for f in fs)
+
+    def compact(self, name: str, least: int = 4, file_bytes: int = 128 << 20) -> bool:
+        """Merges runs of `least` or more neighbouring small segments, in files of about `file_bytes`. A run ends at a segment of that
+        size and at a delete. Where there are deletes, all rows are written anew instead, without those they concern."""
         t = self._table(self.snapshot(), name)
-        if len(t["segments"]) < least and not t["tombstones"]:
-            return False
-        self.replace(name, self.read(name, raw=True).repartition(files), t)
-        return True
+        sizes = [self._bytes(s) for s in t["segments"]]
+        files = lambda n: max(1, -(-n // file_bytes))
+        if t["tombstones"] or t["spec"]["engine"] == "latest":
+            if len(t["segments"]) < least and not t["tombstones"]:
+                return False
+            ids = {f["name"]: f"f{f['id']}" for f in t["fields"]}
+            rows = self.read(name).withColumnsRenamed(ids) if t["spec"]["engine"] == "latest" else self.read(name, raw=True)
+            self.replace(name, rows.repartition(files(sum(sizes))), t)
+            return True
+        runs: list[list[int]] = [[]]
+        for i, n in enumerate(sizes):
+            if n >= file_bytes:
+                runs.append([])
+            else:
+                runs[-1].append(i)
+        runs = [r for r in runs if len(r) >= max(2, least)]
+        for r in runs:
+            self._merge(name, t, [t["segments"][i] for i in r], files(sum(sizes[i] for i in r)))
+            t = self._table(self.snapshot(), name)
+        return bool(runs)
+
+    def _merge(self, name: str, read: dict, segments: list[dict], files: int) -> None:
+        """Puts one segment in place of neighbouring ones."""
+        schema = T.StructType([T.StructField(f"f{f['id']}", T._parse_datatype_json_string(json.dumps(f["type"]))) for f in read["fields"]])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{s['path']}" for s in segments]).repartition(files)
+        if by := read["spec"].get("order_by"):
+            rows = rows.sortWithinPartitions(*[f"f{self._field(read, c)['id']}" for c in by])
+        path = f"t{read['id']}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/data/{path}")
+        one = {"path": path, "rows": sum(s["rows"] for s in segments), "seq": segments[-1]["seq"]}
+        gone = [s["path"] for s in segments]
+
+        def change(s):
+            now = self._table(s, name)
+            if now["id"] != read["id"] or now["fields"] != read["fields"] or [x["path"] for x in now["segments"] if x["path"] in gone] != gone or now["tombstones"] != read["tombstones"]:
+                raise DialectError("the table changed while it was written anew")
+            at = [x["path"] for x in now["segments"]].index(gone[0])
+            now["segments"][at : at + len(gone)] = [one]
+
+        self._commit(change)
 
     def table(self, name: str) -> dict:
         """The table's record in the newest snapshot."""

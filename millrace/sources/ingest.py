@@ -77,3 +77,24 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     if unknown := [n for n in found if n not in schema.names]:
         raise DialectError(f"unknown key: {unknown[0]}")
     return routed(raw.select(*[F.coalesce(*xs).alias(n) for n, xs in found.items()]), schema)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """A file, or those that a pattern names, as they lie: CSV with a header, NDJSON with nested names as paths, or Parquet."""
+    end = path.rsplit(".", 1)[-1].lower()
+    if end == "csv":
+        return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=True)
+    if end == "parquet":
+        return spark.read.parquet(path)
+    if end not in ("ndjson", "jsonl", "json"):
+        raise DialectError(f"unknown format: {path}")
+    df = spark.read.json(path)
+
+    def leaves(fields, before=()):
+        for f in fields:
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, (*before, f.name))
+            else:
+                yield F.col(".".join(map(q, (*before, f.name)))).alias(".".join((*before, f.name)))
+
+    return df.select(*leaves(df.schema))
