@@ -71,11 +71,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as a compressed table."""
+@contextmanager
+def saved(df: DataFrame) -> Iterator[DataFrame]:
+    """Like checkpointed(), as a compressed table that is there while what is inside runs."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        removed(df.sparkSession, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:

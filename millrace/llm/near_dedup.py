@@ -258,12 +258,11 @@ def classed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     leaders = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("c", (-F.col("id")).alias("b"))).alias("l")).select("bucket", (-F.col("l.b")).alias("b"))
     pairs = members.join(leaders, "bucket").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
     wanted = central.join(nodes.select("id", "h1"), "id").select("id", "h1")  # the texts that have a candidate
-    texts = saved(plain.select("id", "h1", "body").join(wanted, ["id", "h1"]).dropDuplicates(["id", "h1"]).select("id", "body"))
-    with small_batches(df.sparkSession):  # rows hold two texts, or two blocks of them
+    bodies = plain.select("id", "h1", "body").join(wanted, ["id", "h1"]).dropDuplicates(["id", "h1"]).select("id", "body")
+    with saved(bodies) as texts, small_batches(df.sparkSession):  # rows hold two texts, or two blocks of them
         links = checkpointed(linked(likely(pairs, nodes), texts))
-    roots = components(links)
-    rooted = checkpointed(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
-    with small_batches(df.sparkSession):
+        roots = components(links)
+        rooted = checkpointed(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
         more = checkpointed(crossing(rooted, texts))
     if not more.isEmpty():
         roots = components(links.union(more))
