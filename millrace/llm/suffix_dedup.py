@@ -39,6 +39,8 @@ LEAST = 50
 GRAM = 16
 #: Bytes of text in a block of documents, about; a worker holds one.
 BLOCK_BYTES = 2 << 20
+#: Bytes of text whose runs, or windows, a part gets, about.
+PART_BYTES = 4 << 20
 #: Flanks that no other has, and that every other has.
 NONE, ANY = 0, 65535
 #: What a block is told of a run: a smaller key has the whole of it; windows that reach half a string before, or behind,
@@ -435,7 +437,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     names = [c for c in others(df, added) if c != text]
     total = df.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    parts = parts or max(2, -(-total // (8 << 20)))
+    parts = parts or max(2, -(-total // PART_BYTES))
     block, body, order = fresh(df, "dedup_block", "dedup_body", "dedup_key")
     # both readers below have this same exchange, which Spark makes once. Not by key: rows of one key may be many
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
@@ -495,6 +497,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         return pa.Table.from_arrays(out, names=[*names, *added])
 
     grouped = dealt_docs.groupBy(block)
-    first = grouped.applyInArrow(lambda k, d: frugal(tell_runs)(k, d), SENT).groupBy("part").applyInArrow(runs_met, ANSWER)
-    second = grouped.cogroup(first.groupBy("block")).applyInArrow(lambda k, d, a: frugal(tell_windows)(k, d, a), SENT).groupBy("part").applyInArrow(windows_met, ANSWER)
+    runs = grouped.applyInArrow(lambda k, d: frugal(tell_runs)(k, d), SENT)
+    first = runs.groupBy("part").applyInArrow(lambda r: frugal(runs_met)(r), ANSWER)
+    windows = grouped.cogroup(first.groupBy("block")).applyInArrow(lambda k, d, a: frugal(tell_windows)(k, d, a), SENT)
+    second = windows.groupBy("part").applyInArrow(lambda r: frugal(windows_met)(r), ANSWER)
     return grouped.cogroup(second.groupBy("block")).applyInArrow(lambda k, d, a: frugal(take_away)(k, d, a), schema)
