@@ -62,7 +62,9 @@ def trace(spans: DataFrame, trace_id: str, id_: str = "span_id", parent: str = "
     rows = spans.filter(F.col("trace_id") == trace_id)
     end = F.unix_micros(F.col(q(start)).cast("timestamp")) * 1000 + F.col(q(duration))
     there = rows.select(F.col(q(id_)).alias("there")).distinct()
-    links = rows.select(F.col(q(id_)).alias("id"), F.col(q(parent)).alias("of"), end.alias("end")).join(there, F.col("of") == F.col("there"), "left").select("id", F.col("there").alias("of"), "end")
+    links = rows.select(F.col(q(id_)).alias("id"), F.col(q(parent)).alias("of"), end.alias("end")).join(there, F.col("of") == F.col("there"), "left")
+    # a span that was sent again is one span, as it ended last
+    links = links.groupBy("id").agg(F.max(F.struct("end", F.col("there").alias("of"))).alias("x")).select("id", "x.of", "x.end")
     last = F.row_number().over(Window.partitionBy("of").orderBy(F.col("end").desc(), "id")) == 1
     view = f"trace_{uuid.uuid4().hex}"
     links.select("id", "of", last.alias("ends_last")).createOrReplaceTempView(view)

@@ -189,7 +189,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.trace(spans(spark, sf_dir), "7").select("span_id", F.col("depth").cast("long").alias("depth"), "self_time", "on_critical_path")
+    once = spans(spark, sf_dir).groupBy("trace_id", "span_id", "parent_span_id").agg(F.max("start_time").alias("start_time"), F.max("duration_ns").alias("duration_ns"))
+    return analysis.trace(once, "7").select("span_id", F.col("depth").cast("long").alias("depth"), "self_time", "on_critical_path")
 
 
 def service_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +212,7 @@ FUNCTIONS = {
     files: "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n, max(n_name) AS last FROM nation GROUP BY 1",
     store_latest: "SELECT user_id AS u, coalesce(max(event_id) FILTER (WHERE event_id % 3 = 0), max(event_id) FILTER (WHERE event_id % 3 = 2), max(event_id)) AS plain, coalesce(max(event_id) FILTER (WHERE event_id % 3 = 0), max(event_id) FILTER (WHERE event_id % 3 = 2), max(event_id)) AS tied FROM events GROUP BY user_id",
     store_delete: "SELECT count(*) AS n, min(o_orderkey) AS lo, count(*) FILTER (WHERE o_orderkey = 203) AS gone FROM orders WHERE o_orderkey > 100 AND o_orderkey <> 203",
-    trace: "WITH RECURSIVE s AS (SELECT l_linenumber AS id, CASE WHEN l_linenumber IN (1, 5) THEN NULL ELSE l_linenumber // 2 END AS up, epoch_us(l_shipdate) * 1000 + CAST(l_quantity AS BIGINT) AS e, CAST(l_quantity AS BIGINT) AS d FROM lineitem WHERE l_orderkey = 7), f AS (SELECT id, d, CASE WHEN up IN (SELECT id FROM s) THEN up END AS up, e FROM s), l AS (SELECT *, row_number() OVER (PARTITION BY up ORDER BY e DESC, CAST(id AS VARCHAR)) = 1 AS last FROM f), t AS (SELECT id, 0 AS depth, last AS crit FROM l WHERE up IS NULL UNION ALL SELECT l.id, t.depth + 1, t.crit AND l.last FROM l JOIN t ON l.up = t.id) SELECT CAST(t.id AS VARCHAR) AS span_id, CAST(depth AS BIGINT) AS depth, greatest(f.d - coalesce((SELECT sum(c.d) FROM f AS c WHERE c.up = t.id), 0), 0)::BIGINT AS self_time, crit AS on_critical_path FROM t JOIN f ON f.id = t.id",
+    trace: "WITH RECURSIVE s AS (SELECT l_linenumber AS id, CASE WHEN l_linenumber IN (1, 5) THEN NULL ELSE l_linenumber // 2 END AS up, epoch_us(max(l_shipdate)) * 1000 + max(CAST(l_quantity AS BIGINT)) AS e, max(CAST(l_quantity AS BIGINT)) AS d FROM lineitem WHERE l_orderkey = 7 GROUP BY l_linenumber), f AS (SELECT id, d, CASE WHEN up IN (SELECT id FROM s) THEN up END AS up, e FROM s), l AS (SELECT *, row_number() OVER (PARTITION BY up ORDER BY e DESC, CAST(id AS VARCHAR)) = 1 AS last FROM f), t AS (SELECT id, 0 AS depth, last AS crit FROM l WHERE up IS NULL UNION ALL SELECT l.id, t.depth + 1, t.crit AND l.last FROM l JOIN t ON l.up = t.id) SELECT CAST(t.id AS VARCHAR) AS span_id, CAST(depth AS BIGINT) AS depth, greatest(f.d - coalesce((SELECT sum(c.d) FROM f AS c WHERE c.up = t.id), 0), 0)::BIGINT AS self_time, crit AS on_critical_path FROM t JOIN f ON f.id = t.id",
     service_graph: "SELECT a.l_returnflag AS caller, b.l_returnflag AS callee, count(*) AS calls, count(*) FILTER (WHERE b.l_linenumber % 3 = 1) AS errors FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > 1 AND b.l_linenumber <> 5 AND a.l_linenumber = b.l_linenumber // 2 GROUP BY 1, 2",
     compare_runs: "WITH g AS (SELECT o_orderpriority AS value, coalesce(sum(round(o_totalprice)) FILTER (WHERE o_orderstatus = 'F'), 0) AS b, coalesce(sum(round(o_totalprice)) FILTER (WHERE o_orderstatus = 'O'), 0) AS a, count(*) FILTER (WHERE o_orderstatus = 'F') AS n0, count(*) FILTER (WHERE o_orderstatus = 'O') AS n1 FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1) SELECT 'o_orderpriority' AS \"column\", value, b AS before, a AS after, round((a - b) / sum(a - b) OVER (), 6) AS contribution, round((n1 - n0) * (b / greatest(n0, 1)), 6) AS mix, round((a / greatest(n1, 1) - b / greatest(n0, 1)) * n1, 6) AS rate, n0 + n1 AS support FROM g",
     profile_orders: "WITH v AS (SELECT 'o_orderstatus' AS c, 'string' AS t, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', 'string', o_orderpriority FROM orders UNION ALL SELECT 'o_custkey', 'bigint', CAST(o_custkey AS VARCHAR) FROM orders), n AS (SELECT c, v, count(*) AS n, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS r FROM v WHERE v IS NOT NULL GROUP BY c, v) SELECT c AS \"column\", any_value(t) AS type, count(v) AS present, count(v) / count(*) AS presence, CASE WHEN c = 'o_custkey' THEN CAST(min(TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE min(v) END AS least, CASE WHEN c = 'o_custkey' THEN CAST(max(TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE max(v) END AS most, count(*) AS \"rows\", (SELECT string_agg(n.v, ',' ORDER BY r) FROM n WHERE n.c = v.c AND r <= 5) AS top_values FROM v GROUP BY c",
