@@ -150,11 +150,13 @@ def queries(own: dict) -> dict:
     def part(name, f):
         return lambda spark, sf_dir: f(own[name](spark, sf_dir))
 
-    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled")
+    def ruled():  # a Column needs a session, which there is when a query runs, not yet when queries are listed
+        return F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled")
+
     return {
         "exact1_sizes": part("op1_shards", lambda x: x.select("doc_id", "size", "law")),
         "exact1_shards": part("op1_shards", lambda x: x.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("slots"))),
-        "exact2_rules": part("op2_url_filters", lambda x: x.select("page_id", "host", "path", "rule", ruled)),
+        "exact2_rules": part("op2_url_filters", lambda x: x.select("page_id", "host", "path", "rule", ruled())),
         "exact3_letters": part("op3_language", lambda x: x.select("doc_id", (F.col("lang_pred") == "und").alias("no_letter"))),
         "exact5_likeness": part("op5_fingerprints", lambda x: x.select("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next")),
         "exact6_base": part("op6_secrets", lambda x: x.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")),
