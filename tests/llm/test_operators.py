@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -294,6 +295,32 @@ def test_byte_bpe_as_tiktoken(spark, docs, texts):
     assert [a for _, a, _ in c.encode_with_offsets("é b")] == [0, 1]
 
 
+def test_byte_bpe_in_time_and_long_blanks():
+    from tokenizers import Tokenizer
+
+    r = random.Random(7)
+    described = byte_bpe.described(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    c, tok = byte_bpe.codec(described), Tokenizer.from_str(described)
+    library = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    words = ["".join(r.choices(["the", "in", "er", "tion", "é", "ou", "st", "a"], k=r.randint(1, 6))) for _ in range(50_000)]
+    prose = [" ".join(r.choices(words, k=400)) + ".\n" for _ in range(300)]
+    took = []
+    for encode in (c.encode, library):
+        encode(prose[:10])
+        spent = []
+        for _ in range(3):
+            began = time.process_time()
+            encode(prose)
+            spent.append(time.process_time() - began)
+        took.append(min(spent))
+    assert took[0] < 0.7 * took[1], took
+    odd = ["'s", "'RE", "''ll", "ß", "ﬁ", "²3", "¼", "日本", "\u0300", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "😀", "\x00", "x", "Word", "..", " ", "\n", "\t "]
+    texts = ["".join(r.choices(odd, k=r.randint(0, 12))) for _ in range(3000)]
+    long = byte_bpe.LONG_BLANK
+    texts += [a + blank * n + b for a in ("", "x") for b in ("", "y") for blank, n in ((" ", long - 1), ("\n", long), (" \t", long), (" ", 3_000_000), ("a", 300_000), ("!", 300_000))]
+    assert c.encode(texts) == library(texts)
+
+
 # 8: packing
 
 
